@@ -15,6 +15,7 @@ columns are not read by tokenize(), and pass through pack_pieces().
 from __future__ import annotations
 
 import os
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -29,11 +30,11 @@ from strandlake.llm._runtime import stored
 CAPACITY = 4096
 END_ID = 1
 #: Lengths above capacity / LARGE are grouped, in GROUPS groups.
-LARGE, GROUPS = 6, 48
+LARGE, GROUPS = 2, 64
 #: Pieces for a task when they are ranked.
 PIECES_PER_BUCKET = 50_000
 #: Words whose ids a Python worker remembers.
-MAX_WORDS = 600_000
+MAX_WORDS = 1_500_000
 Line = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and (length, how many) in each
 
 
@@ -145,20 +146,64 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, large: i
     return [line for part in by_room.values() for line in part]
 
 
+#: The vocabulary's pre-tokens, with white space as its normalizer knows it, and the bytes that stand for themselves.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
+_OWN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte -> character of byte-level vocabularies: the rest are numbered from 256 on; the space stays as our separator."""
+    out = {b: chr(b) for b in _OWN_BYTES}
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + len(out) - len(_OWN_BYTES))
+    return out | {32: " "}
+
+
 class _WordIds:
-    """Ids of the words seen, by hash: the tokenizer is asked once for each."""
+    """Ids of the words seen, by hash: the vocabulary is asked once for each.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Normalizing and splitting are done here for all new words at once, the merges by the tokenizer's own model; its
+    general path takes four times as long. Pre-tokens never span white space, so a word's ids depend on it alone.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        full = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer(full.model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = full.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a pre-token
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.split, self.characters = regex.compile(_PRETOKEN).findall, _byte_characters()
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at, self.n, self.ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each word has)."""
+        low = unicodedata.normalize("NFC", " ".join(words)).replace("\u03a3", "\u03c3").lower().split(" ")
+        parts: list[str] = []
+        counts = np.ones(len(low), dtype=np.int64)
+        for i, w in enumerate(low):
+            if w.isalpha():
+                parts.append(w)
+            else:
+                found = self.split(w)
+                counts[i] = len(found)
+                parts += found
+        line = " ".join(parts)
+        if not line.isascii():
+            line = line.encode().decode("latin-1").translate(self.characters)
+        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids if parts else [], dtype=np.uint32)
+        ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(ends)
+
     def find(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
         """(first id in self.ids, how many) of each word."""
         keys, some, back = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -168,10 +213,7 @@ class _WordIds:
         new = np.flatnonzero(self.keys[place] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             raw = w.data.tobytes()
-            found = self.tokenizer.encode_batch([raw[w.starts[i] : w.ends[i]].decode("utf-8", "replace") for i in some[new]], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            n = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(n.sum()))
+            flat, n = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[some[new]].tolist(), w.ends[some[new]].tolist())])
             all_keys = np.concatenate([self.keys, keys[new]])
             order = np.argsort(all_keys, kind="stable")
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])[order]

@@ -124,7 +124,7 @@ def _threshold(y: np.ndarray, z: np.ndarray) -> float:
     return float(s[best] - gap[best] / 2)
 
 
-def fit_chain(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, categories: tuple[str, ...], folds: int = 3, n_features: int = 800) -> Chain:
+def fit_chain(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, categories: tuple[str, ...], folds: int = 3, n_features: int = 300) -> Chain:
     """labels: (documents, categories) of 0 and 1. rows, keys: presence of hashed words, sorted by row."""
     chain, n = Chain(categories), len(labels)
     fold = np.arange(n) % folds
