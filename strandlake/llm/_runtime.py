@@ -56,3 +56,8 @@ def anti_rows(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """docs whose key is not in ids; only rows that pass the bounded prefilter are shuffled."""
     maybe, rest = split_by_ids(docs, ids, key)
     return rest.select(*docs.columns).unionByName(maybe.join(ids.select(key).distinct(), key, "left_anti").select(*docs.columns))
+
+
+def rows_of_ids(docs: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """docs joined with a table on a key (nulls match nothing); only rows that pass the bounded prefilter are shuffled."""
+    return split_by_ids(docs, table, key)[0].join(table, key)

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import _tokens as tk
-from strandlake.llm._runtime import semi_rows, stored
+from strandlake.llm._runtime import rows_of_ids, semi_rows, stored
 
 PERCENT = 80
 WORDS = 5
@@ -315,8 +316,9 @@ def _verify(pairs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFra
     maps = known.select("node", "map")
     some = pairs.join(maps.withColumnsRenamed({"node": "a", "map": "map_a"}), "a").join(maps.withColumnsRenamed({"node": "b", "map": "map_b"}), "b")
     some = stored(some.select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(bounded, "a long, b long"), "jaccard-bounded")
-    texts = known.select("node", "text")
-    full = some.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    # Only the texts that are still asked for are shuffled.
+    texts = [semi_rows(known.select("node", "text"), some.select(F.col(c).alias("node")), "node") for c in "ab"]
+    full = some.join(texts[0].withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts[1].withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
 
 
@@ -390,9 +392,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS)
         for b in batches:
             for first, end, data, offsets in tk.slices(b.column(0)):
                 sets = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.int64()), "map": pa.array([bitmap(s) for s in sets], pa.binary()), "text": b.column(0).slice(first, end - first)})
-
-    known = stored(semi_rows(docs, wanted, "doc_id").unionByName(docs.filter("doc_id is null")).select("text").mapInArrow(describe, "node long, map binary, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-texts")
+                nodes = pa.array([_node(s) for s in sets], pa.int64())
+                out = pa.RecordBatch.from_pydict({"node": nodes, "map": pa.array([bitmap(s) for s in sets], pa.binary()), "text": b.column(0).slice(first, end - first)})
+                yield out.filter(pc.equal(nodes, b.column(1).slice(first, end - first))) if b.num_columns > 1 else out
+
+    schema = "node long, map binary, text string"
+    # One exchange of the texts that are asked for, by id; repeated rows of an id are merged in the same partitions.
+    asked = rows_of_ids(docs, wanted.withColumnRenamed("node", "asked"), "doc_id")
+    once = asked.dropDuplicates(["doc_id", "asked", "text"])
+    known = once.select("text", "asked").mapInArrow(describe, schema)
+    # Sets that only rows without an id have are found by their names.
+    nameless = docs.filter("doc_id is null").select("text").mapInArrow(describe, schema).join(wanted.filter("doc_id is null"), "node", "left_semi").dropDuplicates(["node"])
+    known = stored(known.unionByName(nameless), "jaccard-texts")
     links = stored(_verify(pairs, known, k, percent), "jaccard-links")
     labels = components(links)
     n_rest = rest.count()
