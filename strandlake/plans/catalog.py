@@ -25,3 +25,10 @@ def query(sql: str | None = None) -> Callable[[Callable], Callable]:
         return f
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from strandlake.plans import aggregates, joins, ordered, sequences  # noqa: E402, F401  each registers its queries
