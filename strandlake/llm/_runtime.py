@@ -39,10 +39,10 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame,
     part still needs an exact join, the second needs none.  Null keys are in the second part.
     """
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(PREFILTER_BUCKETS))
-    seen = ids.filter(F.col(key).isNotNull()).select(bucket.alias("__bucket")).distinct()
-    marked = docs.withColumn("__bucket", F.when(F.col(key).isNotNull(), bucket))
-    maybe = marked.join(F.broadcast(seen), "__bucket", "left_semi").drop("__bucket")
-    surely_not = marked.join(F.broadcast(seen), "__bucket", "left_anti").drop("__bucket")
+    seen = ids.filter(F.col(key).isNotNull()).select(bucket.alias("__sl_bucket")).distinct()
+    marked = docs.withColumn("__sl_bucket", F.when(F.col(key).isNotNull(), bucket))
+    maybe = marked.join(F.broadcast(seen), "__sl_bucket", "left_semi").drop("__sl_bucket")
+    surely_not = marked.join(F.broadcast(seen), "__sl_bucket", "left_anti").drop("__sl_bucket")
     return maybe, surely_not
 
 

@@ -9,7 +9,7 @@ line stands for any number of sequences alike.
 
 Defined cases: null text is empty and has the end id alone; longer documents are cut, the last piece keeping the rest;
 equal lengths are ranked by hash, id and piece; repeated rows are packed each; an empty table gives an empty result; extra
-columns are not read by tokenize(), and pass through pack_pieces().
+columns are not read by tokenize(), and pass through pack_pieces(), where sequence_id and offset are replaced.
 """
 
 from __future__ import annotations
@@ -263,6 +263,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     pieces is read twice, so it should be a stored table.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     lengths = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     if any(n > capacity or n < 1 for n in lengths):
         raise ValueError("a piece is longer than a sequence, or empty")
@@ -282,18 +283,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     total = sum(lengths.values())
     buckets = 1 << max(4, (total // PIECES_PER_BUCKET).bit_length())
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece")
-    ranked = dealt.withColumn("__rank", F.row_number().over(inside) - 1).join(counts.select("length", "__bucket", before.alias("__before")), ["length", "__bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__rank")).cast("long").alias("__rank"))
+    dealt = pieces.withColumn("__sl_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    counts = dealt.groupBy("length", "__sl_bucket").agg(F.count("*").alias("__sl_n"))
+    before = F.coalesce(F.sum("__sl_n").over(Window.partitionBy("length").orderBy("__sl_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy("length", "__sl_bucket").orderBy("doc_id", "piece")
+    ranked = dealt.withColumn("__sl_rank", F.row_number().over(inside) - 1).join(counts.select("length", "__sl_bucket", before.alias("__sl_before")), ["length", "__sl_bucket"])
+    ranked = ranked.select(*pieces.columns, (F.col("__sl_before") + F.col("__sl_rank")).cast("long").alias("__sl_rank"))
     columns = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, plan = sent.value
         for b in batches:
-            n, rank = b.column("length").to_numpy().astype(np.int64), b.column("__rank").to_numpy()
+            n, rank = b.column("length").to_numpy().astype(np.int64), b.column("__sl_rank").to_numpy()
             at = plan[np.searchsorted(keys, (n.astype(np.uint64) << np.uint64(48)) + rank.astype(np.uint64), side="right") - 1] if len(n) else plan[:0]
             i = rank - at[:, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(at[:, 3] + i // at[:, 2] if len(n) else n), pa.array(at[:, 4] + i % at[:, 2] * n if len(n) else n)], [*columns, "sequence_id", "offset"])

@@ -6,7 +6,7 @@ permutes its rows and cuts the permutation at the drawn counts; each shard permu
 counts, at most MAX_BLOCKS numbers, reach the driver, and the matrix that goes back has MAX_BLOCKS rows at most.
 
 Defined cases: null keys are a key; repeated rows are dealt one by one (equal keys share a block); an empty table gives an
-empty result; all columns pass through, so an input must not have columns named shard or slot (ValueError).
+empty result; all columns pass through, but columns of the input that are named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -74,8 +74,7 @@ def _hash(key: Column, salt: int) -> Column:
 
 def shard_rows(rows: DataFrame, key: str = "doc_id", shards: int = 8, seed: int = 7) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (the place in the shard, gapless from 0)."""
-    if clash := {"shard", "slot"} & set(rows.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    rows = rows.drop("shard", "slot")
     spark = rows.sparkSession
     n = rows.count()
     bits = min(max(6, (max(n, 1) // ROWS_PER_BLOCK).bit_length()), MAX_BLOCKS.bit_length() - 1)
@@ -86,15 +85,15 @@ def shard_rows(rows: DataFrame, key: str = "doc_id", shards: int = 8, seed: int
 
     counts = {r["b"]: r["n"] for r in rows.groupBy(block(seed).alias("b")).agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], shards, seed)
-    cuts = spark.createDataFrame([(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(matrix)], "__block long, __cuts array<long>")
-    inside = Window.partitionBy("__block").orderBy(_hash(F.col(key), seed + 1), key)
-    dealt = rows.withColumn("__block", block(seed)).withColumn("__place", F.row_number().over(inside) - 1)
-    dealt = dealt.join(F.broadcast(cuts), "__block").withColumn("shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__place"))))
-    dealt = dealt.withColumn("__part", block(seed + 2)).drop("__block", "__cuts", "__place")
+    cuts = spark.createDataFrame([(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(matrix)], "__sl_block long, __sl_cuts array<long>")
+    inside = Window.partitionBy("__sl_block").orderBy(_hash(F.col(key), seed + 1), key)
+    dealt = rows.withColumn("__sl_block", block(seed)).withColumn("__sl_place", F.row_number().over(inside) - 1)
+    dealt = dealt.join(F.broadcast(cuts), "__sl_block").withColumn("shard", F.size(F.filter("__sl_cuts", lambda c: c <= F.col("__sl_place"))))
+    dealt = dealt.withColumn("__sl_part", block(seed + 2)).drop("__sl_block", "__sl_cuts", "__sl_place")
     # Where each part of a shard begins: by the keys alone, shards x blocks numbers.
-    sizes = dealt.groupBy("shard", "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    again = Window.partitionBy("shard", "__part").orderBy(_hash(F.col(key), seed + 2), key)
-    placed = dealt.withColumn("__rank", F.row_number().over(again) - 1).join(F.broadcast(offsets), ["shard", "__part"])
-    return placed.withColumn("slot", (F.col("__before") + F.col("__rank")).cast("long")).select(*rows.columns, "shard", "slot")
+    sizes = dealt.groupBy("shard", "__sl_part").agg(F.count("*").alias("__sl_n"))
+    before = Window.partitionBy("shard").orderBy("__sl_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "__sl_part", F.coalesce(F.sum("__sl_n").over(before), F.lit(0)).alias("__sl_before"))
+    again = Window.partitionBy("shard", "__sl_part").orderBy(_hash(F.col(key), seed + 2), key)
+    placed = dealt.withColumn("__sl_rank", F.row_number().over(again) - 1).join(F.broadcast(offsets), ["shard", "__sl_part"])
+    return placed.withColumn("slot", (F.col("__sl_before") + F.col("__sl_rank")).cast("long")).select(*rows.columns, "shard", "slot")

@@ -1,0 +1,431 @@
+"""Each operator against brute force on small tables, with the cases its docstring defines."""
+
+import collections
+import hashlib
+import json
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from strandlake.llm import _tokens as tk
+from strandlake.llm import chat, decontaminate, jaccard, langid, packing, quality, queries, secrets, sharding, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, None), (2, ""), (3, "   \n\t "), (4, "ein Wort"), (5, "ein Wort"), (5, "ein Wort"), (None, "ohne Nummer"), (7, "wort " * 30_000), (8, "äöü ßé 漢字 \U0001f600 token=abc"), (9, "a\x85b c")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "de" if i and i % 2 else None, "s", 1, True, "x", 3) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words long, kept boolean, node string, __bucket int")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def split_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_word_hashes_are_equal_for_equal_words_only():
+    import pyarrow as pa
+
+    texts = ["der Hund\tder  Hund\n", "", None, "Hund der", "x" * 5000]
+    ((_, _, data, offsets),) = tk.slices(pa.array(texts))
+    w = tk.words(data, offsets)
+    found = [data[a:b].tobytes().decode() for a, b in zip(w.starts, w.ends)]
+    assert found == [x for t in texts for x in split_words(t)]
+    names = collections.defaultdict(set)
+    for word, h in zip(found, w.hashes):
+        names[word].add(int(h))
+    assert all(len(v) == 1 for v in names.values()) and len({x for v in names.values() for x in v}) == len(names)
+
+
+# 1
+
+
+def test_decontamination_finds_substituted_passages(spark, docs, texts):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    words = item.split()
+    swapped = " ".join("X" if i in (6, 13) else w for i, w in enumerate(words))
+    far = " ".join("X" if i % 2 else w for i, w in enumerate(words))
+    rows = spark.createDataFrame([(1, f"before {item} after"), (2, f"a b c {swapped.upper()} d"), (3, far), (4, None), (5, ""), (6, "short one"), (7, "five words are quite enough")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item, 1), (11, item, 1), (12, "five words are quite enough", 1), (13, None, 1), (14, "two words", 1)], "item_id long, text string, doc_id int")
+    got = {r.doc_id: r for r in decontaminate.find_overlaps(rows, bench).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 7}
+    assert [o.item_id for o in got[1].overlaps] == [10, 11] and got[1].overlaps[0].matched == 20 and got[1].overlaps[0].first_word == 1
+    assert got[2].overlaps[0].substituted == 2 and got[2].overlaps[0].matched == 18
+    small = {r.doc_id: r.contaminated for r in decontaminate.find_overlaps(rows, bench, block_bytes=40).collect()}
+    assert small == {i: r.contaminated for i, r in got.items()}
+    assert not any(r.contaminated for r in decontaminate.find_overlaps(rows, bench.limit(0)).collect())
+
+
+def test_decontamination_against_brute_force(spark, docs, texts):
+    items = [re.findall(r"[^\s!-/:-@\[-`{-~]+", r.text.lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    runs = {tuple(w[i : i + 13]) for w in items for i in range(len(w) - 12)}
+    want = set()
+    for d, t in texts.items():
+        w = re.findall(r"[^\s!-/:-@\[-`{-~]+", t.lower())
+        if any(tuple(w[i : i + 13]) in runs for i in range(len(w) - 12)):
+            want.add(d)
+    got = queries.op1_spaced_seed_decontamination(spark, SF).collect()
+    assert len(got) == len(texts) and want and want <= {r.doc_id for r in got if r.contaminated}
+
+
+# 2
+
+
+def test_toxicity_chain_learns_and_keeps_clean_documents(spark, none, odd):
+    bad = ["fool", "rubbish", "nasty", "foolish"]
+    rng = np.random.default_rng(1)
+    plain = [f"word{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = [plain[j] for j in rng.integers(0, 60, 40)] + ([bad[j] for j in rng.integers(0, 4, 2)] if toxic else [])
+        rows.append((i, " ".join(rng.permutation(words)), 7))
+        labels.append((i, 0, int(toxic)) if i < 400 else (i, None, None))
+    d = spark.createDataFrame(rows, "doc_id long, text string, p_toxic int")
+    t = spark.createDataFrame(labels, "doc_id long, low_quality int, toxic int")
+    chain = toxicity.train_chain(d, t, ("low_quality", "toxic"))
+    got = {r.doc_id: r.is_toxic for r in toxicity.score_chain(d, chain).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(400, 600))
+    assert len(chain.models[1].weights) == len(chain.models[1].keys) + 1  # the earlier category is a feature
+    assert toxicity.score_chain(odd, chain).count() == len(ODD) and toxicity.score_chain(none, chain).count() == 0
+    empty = toxicity.train_chain(d, t.limit(0), ("low_quality", "toxic"))
+    assert not any(r.is_toxic for r in toxicity.score_chain(d.limit(5), empty).collect())
+
+
+# 3
+
+
+def brute_quality(t):
+    w = split_words(t)
+    marks = set()
+    seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    for i in range(len(w) - 2):
+        if seen[tuple(w[i : i + 3])] > 1:
+            marks |= {i, i + 1, i + 2}
+    lines = [x for x in (t or "").split("\n") if split_words(x)]
+    repeat = len(marks)
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), repeat, len(w) < 50 or 100 * repeat > 50 * len(w))
+
+
+def test_quality_counts(spark, odd, docs, texts, none):
+    got = queries.op3_distribution_divergence(spark, SF).collect()
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(texts[r.doc_id])
+        assert not (r.base_failed and r.kept)
+    out = quality.quality_rules(odd).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_repeat_words) for r in out) == sorted((i or 0, brute_quality(t)[0], brute_quality(t)[4]) for i, t in ODD)
+    assert quality.quality_rules(none).count() == 0
+
+
+def test_js_distance():
+    p = np.array([[1.0, 0, 0], [2, 2, 0]])
+    d = quality.js_distance(p, p)
+    assert d[0, 0] == 0 and d[0, 1] == pytest.approx(d[1, 0]) and quality.js_distance(np.array([[1.0, 0]]), np.array([[0, 5.0]]))[0, 0] == pytest.approx(1)
+
+
+# 4
+
+
+def test_sharding_is_exact_uniform_and_whole(spark, odd, none, texts):
+    got = queries.op4_hypergeometric_sharding(spark, SF).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == {d: (len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in texts.items()}
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert sorted(by) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    again = sharding.shard_rows(odd.withColumnRenamed("node", "shard"), shards=3).collect()
+    assert len(again) == len(ODD) and collections.Counter(r.text for r in again) == collections.Counter(t for _, t in ODD)
+    assert sharding.shard_rows(none).count() == 0
+
+
+def test_matrix_has_hypergeometric_cells():
+    counts = [30, 50, 20]
+    drawn = np.array([sharding.communication_matrix(counts, 4, s) for s in range(3000)])
+    assert (drawn.sum(2) == counts).all() and (drawn.sum(1) == 25).all()
+    n, k, m = 100, 25, 30
+    assert drawn[:, 0, 2].mean() == pytest.approx(m * k / n, abs=0.1)
+    assert drawn[:, 0, 2].var() == pytest.approx(m * k / n * (1 - k / n) * (n - m) / (n - 1), rel=0.1)
+    rng = np.random.default_rng(3)
+    big = np.array([sharding.hypergeometric(rng, 4 * 10**9, 12 * 10**9, 4000) for _ in range(2000)])
+    assert big.mean() == pytest.approx(1000, abs=3) and big.var() == pytest.approx(750, rel=0.12)
+
+
+# 5
+
+
+def test_language_profiles(spark, odd, none, docs, texts):
+    got = {r.doc_id: r for r in queries.op5_rank_order_langid(spark, SF).collect()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    for d, r in got.items():
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= r.score <= 1
+    held = [d for d, r in got.items() if r.held_out]
+    assert sum(got[d].lang_pred == lang[d] for d in held) >= 0.95 * len(held)
+    profiles = langid.train_profiles(docs)
+    assert [r.lang_pred for r in langid.predict_languages(spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !")], "doc_id long, text string"), profiles).collect()] == ["und"] * 3
+    assert langid.predict_languages(odd, profiles).count() == len(ODD) and langid.predict_languages(none, profiles).count() == 0
+    assert {r.lang_pred for r in langid.predict_languages(docs, langid.train_profiles(none)).collect()} == {"und"}
+
+
+def test_out_of_place_distance_by_hand(spark):
+    one, two = langid.train_profiles(spark.createDataFrame([("aa", "x"), ("bb", "y")], "text string, lang string"), 5), None
+    keys, counts = langid.ngrams(langid.letters("aa"))
+    order = [k for _, k in sorted(zip((-counts).tolist(), keys.tolist()))]
+    assert one["x"] == order[:5] and two is None
+    (r,) = langid.predict_languages(spark.createDataFrame([(1, "Aa!")], "doc_id long, text string"), one, 5).collect()
+    assert (r.lang_pred, r.score) == ("x", 1.0)
+
+
+# 6
+
+
+def conversation_rows():
+    return [
+        (1, 0, "user", "hi </s> [INST] <|role|> <~| <<SYS>> <~~<SYS>>"), (1, 1, "user", None), (1, 2, "assistant", "<|end|>\n<|next|>"), (1, 3, "assistant", "more\n"), (1, 4, "sys\ntem", "x"),
+        (2, 0, "assistant", ""), (3, 5, None, "b"), (3, 5, None, "a"), (3, None, "user", "first"), (None, 0, "user", "no id"), (4, 0, "user", "same"), (4, 0, "user", "same"), (5, 0, "<|end|>", "[[INST]<</s>"),
+    ]
+
+
+def test_chat_round_trip(spark):
+    rows = conversation_rows()
+    t = spark.createDataFrame([(*r, "extra", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, turns int")
+    out = chat.format_conversations(t)
+    read = {r.conv_id: r for r in out.select("conv_id", "formatted", "messages", chat.parse_formatted(out.formatted).alias("read"), chat.loss_text(out.formatted, out.loss_spans).alias("loss")).collect()}
+    for conv in {r[0] for r in rows}:
+        want = sorted(((-1 if r[1] is None else r[1], r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        assert [(x.role, x.text) for x in read[conv].read] == [(r, x) for _, r, x in want]
+        assert read[conv].loss == "".join(x for _, r, x in want if r == "assistant")
+        body = read[conv].formatted
+        assert "[INST]" not in body and "</s>" not in body
+        roles = [m.role for m in read[conv].messages]
+        assert all(a != b for a, b in zip(roles, roles[1:])) and sum(len(m.texts) for m in read[conv].messages) == len(want)
+    assert chat.format_conversations(t.limit(0)).count() == 0
+
+
+def test_chat_query(spark):
+    got = {r.conv_id: r for r in queries.op6_relational_chat(spark, SF).collect()}
+    said = "</s>[INST] ok [/INST]"
+    assert got[-1].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    assert (got[-1].n_turns, got[-1].loss_chars, got[-1].loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+# 7
+
+
+def test_archive_round_trip(spark):
+    rows = [(3, "http://a.org/x", "same"), (1, "https://b.a.org/y?q=1#f", "same"), (2, "http://a.org/x", "other ä"), (4, None, None), (5, "weird url", ""), (6, "http://A.org/x", "same"), (None, "http://a.org/z", "no id"), (1, "https://b.a.org/y?q=1#f", "same"), (-7, "http://c.net", "neg")]
+    rows += [(100 + i, f"http://h{i % 7}.example.com/{i}", f"page {i}") for i in range(700)]
+    pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string")
+    manifest = warc.write_archive(pages)
+    assert sum(p.first_key is not None for p in manifest) == len(manifest) > 1
+    keys = pages.select(warc.capture_key(pages.url, pages.page_id).alias("key"))
+    got = warc.lookup(keys, manifest).collect()
+    assert collections.Counter(r.page_id for r in got) == collections.Counter(r[0] for r in rows)
+    import base64
+
+    for r in got:
+        html = next(h for p, _, h in rows if p == r.page_id) or ""
+        assert r.payload_bytes == len(html.encode()) and r.payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        first = min((p for p, _, h in rows if (h or "") == html and p is not None), default=None)
+        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == first else ("revisit", first))
+        assert r.payload == (html.encode() if r.record_type == "response" else None)
+    missing = spark.createDataFrame([("org,zzz)/ 1",), ("",)], "key string")
+    assert warc.lookup(missing, manifest).count() == 0
+    assert warc.lookup(missing, warc.write_archive(pages.limit(0))).count() == 0
+
+
+# 8
+
+
+def test_ids_are_those_of_the_tokenizer(spark, odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary())
+    t.encode_special_tokens = True
+    got = collections.defaultdict(list)
+    hard = odd.union(spark.createDataFrame([(20, "It's DON'T <|endoftext|> x²½ ΣΟΦΟΣ İstanbul é  a b\x1c"), (21, "1234 $$$ a1b2")], "doc_id long, text string").selectExpr("doc_id", "text", "null", "null", "1", "true", "null", "1"))
+    for r in packing.tokenize(hard.dropDuplicates(["doc_id"]), queries.vocabulary(), capacity=16).collect():
+        got[r.doc_id].append(r)
+    for d, x in [*dict(ODD).items(), (20, "It's DON'T <|endoftext|> x²½ ΣΟΦΟΣ İstanbul é  a b\x1c"), (21, "1234 $$$ a1b2")]:
+        want = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        pieces = sorted(got[d], key=lambda r: r.piece)
+        assert np.concatenate([np.frombuffer(bytes(r.ids), dtype="<u4") for r in pieces]).tolist() == want
+        assert [r.start for r in pieces] == list(range(0, len(want), 16)) and all(r.length == 16 for r in pieces[:-1])
+
+
+def test_packing_is_whole_and_tight(spark, none):
+    rows = queries.op8_best_fit_packing(spark, SF).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for s in by.values():
+        end = 0
+        for a, n in sorted(s):
+            assert a == end
+            end += n
+        assert end <= 4096
+    assert len(by) <= -(-sum(r.length for r in rows) // 4096) + 1
+    assert packing.pack_pieces(packing.stored_pieces(none, queries.vocabulary())).count() == 0
+
+
+def test_plan_holds_every_length():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 300, 5000):
+        h = collections.Counter(np.minimum(rng.geometric(0.01, n), 400).tolist())
+        lines = packing.plan_sequences(dict(h), 400)
+        got = collections.Counter()
+        for times, items in lines:
+            assert sum(a * b for a, b in items) <= 400
+            for a, b in items:
+                got[a] += times * b
+        assert got == h
+        assert sum(t for t, _ in lines) <= sum(a * b for a, b in h.items()) / 400 * 1.1 + 2
+    assert packing.plan_sequences({}) == []
+
+
+# 9
+
+
+def brute_secrets(t):
+    t = t or ""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+
+
+def test_secret_spans(spark, odd, none, texts):
+    hard = ["ä API_KEY = 'abcdef1234' x", "token=token:abcdefg", "secret: abc", "AKIA" + "Z" * 16, "xAKIAAKIA" + "9" * 20 + " AKIA12", "0" * 24 + "g" + "f" * 23, "password:  \"" + "a1" * 20 + "\"", "ſecret: abcdefgh toKen=abcdefgh", "key 漢 q7Rk2mZx81LpTn0vBw93XyEd end", None, ""]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(hard)], "doc_id long, text string, findings int")
+    got = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in secrets.find_secrets(rows).collect()}
+    for i, t in enumerate(hard):
+        assert [f for f in got[i] if f[0] != "learned"] == brute_secrets(t)
+    assert ("learned", 6, 30) in got[8]
+    for r in queries.op9_secret_scan(spark, SF).collect():
+        base = brute_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert r.n_assign == sum(f[0] == "assign" for f in base)
+    red = {r.doc_id: r.text for r in secrets.redact_secrets(rows).collect()}
+    assert red[0] == "ä [SECRET]' x" and red[9] is None and red[10] == "" and red[2] == "secret: abc"
+    assert secrets.find_secrets(odd).count() == len(ODD) and secrets.redact_secrets(none).columns == none.columns
+
+
+def test_network_is_calibrated_and_recalls():
+    net = secrets.trained()
+    found, y = secrets.labelled_findings(1000, 99)
+    p = net.score(np.stack([secrets._codes(t, s) for t, s in found]))
+    assert (p[y == 1] >= net.threshold).mean() >= 0.93 and (p[y == 0] < net.threshold).mean() >= 0.93
+    assert abs(p.mean() - y.mean()) < 0.05
+
+
+# 10
+
+
+def brute_components(rows):
+    def shingles(t):
+        w = split_words((t or "").translate({i: i + 32 for i in range(65, 91)}))
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    ids = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[find(i)].append(d)
+    return sorted(((d or 0), len(sets[i]), min(ids[find(i)], default=0) if sets[i] else (d or 0)) for i, (d, _) in enumerate(rows))
+
+
+def test_components_against_all_pairs(spark, odd, none):
+    rng = np.random.default_rng(5)
+    rows = [(i, t) for i, t in ODD if i != 7]
+    base = [[f"w{x}" for x in rng.integers(0, 400, n)] for n in (6, 9, 40, 80, 81, 120, 300)]
+    i = 100
+    for b in base:
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6, 9, 12):
+            w = list(b)
+            for at in rng.integers(0, len(w), edits):
+                w[at] = f"e{rng.integers(0, 10**6)}"
+            if rng.random() < 0.3:
+                w = w[: int(len(w) * 0.85)]
+            rows.append((int(i), " ".join(w).upper() if rng.random() < 0.2 else "\n".join(w)))
+            i += 1
+    shared = " ".join(f"p{x}" for x in range(60))
+    rows += [(500 + j, f"{shared} " + " ".join(f"z{j}_{x}" for x in range(5 + j % 25))) for j in range(60)]
+    d = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n_shingles int, component_id string")
+    got = jaccard.jaccard_components(d).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == brute_components(rows)
+    assert jaccard.jaccard_components(none).count() == 0
+    assert jaccard.jaccard_components(odd).count() == len(ODD)
+
+
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    rows = [(j, " ".join(["a b c d e f g h i j k l m n o p q r s t"] + [f"x{j}"])) for j in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    import strandlake.llm.jaccard as module
+
+    monkeypatch.setattr(module, "ENTRIES_PER_BUCKET", 20)
+    assert {r.component_id for r in module.jaccard_components(d).collect()} == {0}
+
+
+def test_overlap_bound_is_never_too_low():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    for _ in range(200):
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 1500))) for _ in range(2))
+        assert jaccard.overlap_bound(jaccard.bitmap(a), jaccard.bitmap(b), len(a), len(b)) >= len(np.intersect1d(a, b))
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark, docs, texts):
+    import corpus_pipeline as pipe
+
+    stages = dict(pipe.STAGES)
+    assert list(stages) == ["toxicity", "ngram_jaccard", "decontamination", "secrets", "packing"]
+    clean = stages["toxicity"](spark, docs, SF)
+    assert clean.columns == docs.columns
+    flagged = {r.doc_id for r in queries.op2_toxicity_chain(spark, SF).collect() if r.toxic}
+    assert {r.doc_id for r in clean.collect()} == set(texts) - flagged
+    single = stages["ngram_jaccard"](spark, docs, SF)
+    want = {c for _, _, c in brute_components(sorted(texts.items()))} if len(texts) < 400 else None
+    assert want is None or {r.doc_id for r in single.collect()} == want
+    kept = {r.doc_id for r in stages["decontamination"](spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in queries.op1_spaced_seed_decontamination(spark, SF).collect() if not r.contaminated}
+    masked = {r.doc_id: r for r in stages["secrets"](spark, docs, SF).collect()}
+    for d, t in texts.items():
+        assert len(masked[d].text) == masked[d].n_chars and not brute_secrets(masked[d].text)
+        assert brute_secrets(t) or masked[d].text == t
+    out = pipe.run(spark, SF).collect()
+    assert {r.doc_id for r in out} <= set(texts) and len(out) > 0
+    json.dumps([r.asDict() for r in out[:2]])
