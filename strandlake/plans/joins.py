@@ -119,7 +119,7 @@ def interval_overlap_at_least(spark, sf):
     return pairs.filter(iv.overlaps_at_least(F.col("a"), F.col("b"), 5)).select("k", "n1", "n2")
 
 
-@query(f"""with b as ({BLOCKS}), g as (select k, e, lead(s) over (partition by k order by s, n) as nx from b)
+@query(f"""with b as ({BLOCKS}), g as (select k, e, lead(s) over (partition by k order by s, n, e) as nx from b)
 select k, count(*) filter (e + 1 < nx) as n_junctions, coalesce(sum(nx - e - 1) filter (e + 1 < nx), 0)::bigint as gap_length from g group by k""")
 def junctions_from_blocks(spark, sf):
     """Introns of sorted blocks."""

@@ -25,7 +25,7 @@ def str_revcomp(spark, sf):
     return bases(spark, sf).select("p_partkey", sq.revcomp("seq").alias("rc"))
 
 
-@query(f"""with k as (select unnest(list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 4))) as kmer from (select {BASES} as s from part) where length(s) >= 4) select kmer, count(*) as n from k group by 1""")
+@query(f"""with k as (select unnest(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))) as kmer from (select {BASES} as s from part) where length(s) >= 4) select kmer, count(*) as n from k group by 1""")
 def kmer_counts(spark, sf):
     """X10, T3."""
     return bases(spark, sf).select(F.explode(sq.kmers("seq", 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
