@@ -162,9 +162,9 @@ def detect_forward(seq: str, chemistry: Chemistry, index: KmerIndex) -> Call:
         return out
     out.barcode, out.score = found[0], found[1]
     start = begin + found[3] if umi_at is None else umi_at
-    end = out.polyt if out.polyt != -1 and abs(out.polyt - start - chemistry.umi) <= 2 else start + chemistry.umi
+    end = start + chemistry.umi
     out.umi = seq[start:end] or "*"
-    out.valid_umi = abs(len(out.umi) - chemistry.umi) <= 2 and out.umi != "*" and not out.umi.endswith("TT")
+    out.valid_umi = len(out.umi) == chemistry.umi and (out.polyt == -1 or abs(out.polyt - end) <= 2) and not out.umi.endswith("TT")
     return out
 
 

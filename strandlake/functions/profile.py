@@ -57,8 +57,10 @@ def is_subprofile(short: Column, long: Column) -> Column:
     return F.when((a == 0) | (F.size(short) != F.size(long)), F.lit(None).cast("boolean")).otherwise(F.slice(short, a.cast("int"), (b - a + 1).cast("int")) == F.slice(long, a.cast("int"), (b - a + 1).cast("int")))
 
 
-def one_hot(own: Column, universe: Column) -> Column:
-    """1 at an isoform's own features, -1 elsewhere."""
+def one_hot(own: Column, universe: Column, exact: bool = False) -> Column:
+    """1 at an isoform's own features (introns: exact) or parts of them (exons), -1 elsewhere."""
+    if exact:
+        return F.transform(universe, lambda u: F.when(iv.equals_any(u, own), 1).otherwise(-1))
     return F.transform(universe, lambda u: F.when(F.exists(own, lambda o: (o["start"] <= u["start"]) & (o["end"] >= u["end"])), 1).otherwise(-1))
 
 

@@ -107,7 +107,7 @@ def assign_isoforms(reads: DataFrame, transcripts: DataFrame, delta: int = 0) ->
     is unique, several are ambiguous, none is contradictory; reads without a covered junction are matched by exon parts.
     """
     genes = gene_features(transcripts)
-    own_introns = transcripts.withColumn("own", iv.junctions(F.col("exons"))).join(genes, "gene_id").select("gene_id", "transcript_id", pf.one_hot(F.col("own"), F.col("introns")).alias("t_introns"), pf.one_hot(F.col("exons"), F.col("parts")).alias("t_parts"))
+    own_introns = transcripts.withColumn("own", iv.junctions(F.col("exons"))).join(genes, "gene_id").select("gene_id", "transcript_id", pf.one_hot(F.col("own"), F.col("introns"), exact=True).alias("t_introns"), pf.one_hot(F.col("exons"), F.col("parts")).alias("t_parts"))
     covers = iv.span(F.col("blocks"))
     by_intron = F.transform("introns", lambda f: F.when(F.exists(iv.junctions(F.col("blocks")), lambda j: iv.equal_ranges(j, f, delta)), 1).when(iv.overlaps(covers, f) & iv.contains(covers, f), -1).otherwise(0))
     by_part = F.transform("parts", lambda f: F.when(F.exists("blocks", lambda b: iv.intersection_length(b, f) * 2 > iv.length(f)), 1).when(iv.contains(covers, f), -1).otherwise(0))

@@ -8,6 +8,7 @@ from math import erfc, exp, lgamma, log, sqrt
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def chi2_2x2(a: Column, b: Column, c: Column, d: Column, yates: bool = True) -> Column:
@@ -60,7 +61,7 @@ def chi2_p(statistic: float, df: int = 1) -> float:
     return erfc(sqrt(statistic / 2)) if df == 1 else gamma_q(df / 2, statistic / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(statistic: pd.Series, df: pd.Series) -> pd.Series:
     """P of a chi-squared statistic; null stays null."""
     return pd.Series([None if pd.isna(s) else chi2_p(float(s), int(d)) for s, d in zip(statistic, df)], dtype="float64")

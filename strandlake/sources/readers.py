@@ -108,7 +108,7 @@ def read_calls(spark: SparkSession, path: str, legacy: bool = False) -> DataFram
 
 def read_assignments(spark: SparkSession, path: str, unique_polya: bool = False) -> DataFrame:
     """Exons as intervals; unique_polya keeps unique assignments with a poly-A."""
-    rows = _tsv(spark, path, ASSIGNMENTS).withColumn("exons", iv.parse_blocks(F.col("exons")))
+    rows = _tsv(spark, path, ASSIGNMENTS).withColumn("exons", iv.parse_blocks(F.coalesce("exons", F.lit(""))))
     return rows.filter(F.col("assignment_type").startswith("unique") & F.col("attributes").contains("PolyA=True")) if unique_polya else rows
 
 
@@ -117,7 +117,7 @@ def read_allinfo(spark: SparkSession, path: str) -> DataFrame:
     rows = _tsv(spark, path, ALLINFO).withColumn("__line", F.monotonically_increasing_id())
     w = Window.partitionBy("read_id").orderBy(F.desc("__line"))
     last = rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__line")
-    return last.withColumns({"introns": iv.parse_regions(F.col("introns")), "exons": iv.parse_regions(F.col("exons"))})
+    return last.withColumns({c: iv.parse_regions(F.coalesce(c, F.lit(""))) for c in ("introns", "exons")})
 
 
 def gtf_attribute(name: str, column: str = "attributes") -> Column:
@@ -190,7 +190,7 @@ def read_mex(spark: SparkSession, folder: str) -> DataFrame:
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a small file with their numbers from 1."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("n", "value")).select((F.col("n") + 1).cast("long").alias("n"), "value")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("n", "value")).select((F.col("n") + 1).cast("long").alias("n"), "value")
 
 
 def read_reditools(spark: SparkSession, path: str) -> DataFrame:
