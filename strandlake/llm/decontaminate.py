@@ -40,8 +40,8 @@ class Overlap:
 
 def _words(texts: list[str]) -> list[np.ndarray]:
     out = []
-    for _, _, data, offsets in tk.slices(pa.array(texts, pa.string())):
-        w = tk.words(data, offsets, tk.LOOSE, tk.fold_az())
+    for _, _, data, offsets in tk.slices(pa.array(texts, pa.string()), lower=True):
+        w = tk.words(data, offsets, tk.LOOSE)
         out += [w.hashes[a:b] for a, b in zip(w.bounds, w.bounds[1:])]
     return out
 
@@ -140,8 +140,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                for first, end, data, offsets in tk.slices(batch.column(1)):
-                    w = tk.words(data, offsets, tk.LOOSE, tk.fold_az())
+                for first, end, data, offsets in tk.slices(batch.column(1), lower=True):
+                    w = tk.words(data, offsets, tk.LOOSE)
                     hits = index.hits(w.hashes)
                     owner = np.searchsorted(w.bounds, hits[:, 2], side="right") - 1
                     found: list[list[tuple[int, ...]]] = [[] for _ in range(end - first)]

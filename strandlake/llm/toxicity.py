@@ -30,9 +30,9 @@ MAX_TRAIN = 6_000
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hashed word or word beginning) of a slice, each once; sorted by document."""
-    w = tk.words(data, offsets, tk.LOOSE, tk.fold_az())
-    sums, inv = tk.prefix(data, tk.fold_az())
+    """(document, hashed word or word beginning) of a slice of lower-cased texts, each once; sorted by document."""
+    w = tk.words(data, offsets, tk.LOOSE)
+    sums, inv = tk.prefix(data)
     docs, hashes = [w.docs], [w.hashes]
     for n in PREFIXES:  # beginnings of longer words: compounds of a stem share them
         long = w.ends - w.starts > n
@@ -153,7 +153,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, data, offsets in tk.slices(b.column(0)):
+            for first, end, data, offsets in tk.slices(b.column(0), lower=True):
                 d, k = _features(data, offsets)
                 cuts = np.searchsorted(d, np.arange(end - first + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([k[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), *(b.column(j).slice(first, end - first) for j in range(1, b.num_columns))], ["keys", *b.schema.names[1:]])
@@ -173,7 +173,7 @@ def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = _sigmoid(np.array(chain.thresholds))
         for b in batches:
-            for first, end, data, offsets in tk.slices(b.column(1)):
+            for first, end, data, offsets in tk.slices(b.column(1), lower=True):
                 p = chain.predict(*_features(data, offsets), end - first)
                 out = {"doc_id": b.column(0).slice(first, end - first).cast(pa.int64())}
                 for j, c in enumerate(chain.categories):

@@ -63,10 +63,11 @@ def test_decontamination_finds_substituted_passages(spark, docs, texts):
     words = item.split()
     swapped = " ".join("X" if i in (6, 13) else w for i, w in enumerate(words))
     far = " ".join("X" if i % 2 else w for i, w in enumerate(words))
-    rows = spark.createDataFrame([(1, f"before {item} after"), (2, f"a b c {swapped.upper()} d"), (3, far), (4, None), (5, ""), (6, "short one"), (7, "five words are quite enough")], "doc_id long, text string")
-    bench = spark.createDataFrame([(10, item, 1), (11, item, 1), (12, "five words are quite enough", 1), (13, None, 1), (14, "two words", 1)], "item_id long, text string, doc_id int")
+    accents = "été dès où çà là élève forêt hôtel maïs Noël père même août âge île"
+    rows = spark.createDataFrame([(8, accents.upper()), (1, f"before {item} after"), (2, f"a b c {swapped.upper()} d"), (3, far), (4, None), (5, ""), (6, "short one"), (7, "five words are quite enough")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item, 1), (11, item, 1), (12, "five words are quite enough", 1), (13, None, 1), (14, "two words", 1), (15, accents, 1)], "item_id long, text string, doc_id int")
     got = {r.doc_id: r for r in decontaminate.find_overlaps(rows, bench).collect()}
-    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 7}
+    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 7, 8}
     assert [o.item_id for o in got[1].overlaps] == [10, 11] and got[1].overlaps[0].matched == 20 and got[1].overlaps[0].first_word == 1
     assert got[2].overlaps[0].substituted == 2 and got[2].overlaps[0].matched == 18
     small = {r.doc_id: r.contaminated for r in decontaminate.find_overlaps(rows, bench, block_bytes=40).collect()}
