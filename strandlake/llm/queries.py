@@ -89,6 +89,18 @@ def op7_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.lookup(keys, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Base 32 of a SHA-1: each five hexadecimal digits are four letters.
+OP7_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as hex from pages),
+d as (select *, min(page_id) over (partition by hex) as first_page, (
+  select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::int >> (15 - 5 * (i % 4))) & 31) + 1, 1), '' order by i) from range(0, 32) t(i)) as digest from p)
+select page_id::bigint as page_id, octet_length(payload)::bigint as payload_bytes, digest as payload_digest,
+  case when page_id = first_page or page_id is null and first_page is null then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_page or page_id is null then first_page end::bigint as refers_to
+from d
+"""
+
+
 def _spans(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f.kind, f.start, f.end)), ",")
 
@@ -120,4 +132,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_toxicity_chain, op3_distribution_divergence, op4_hypergeometric_sharding, op5_rank_order_langid, op6_relational_chat, op7_capture_index, op8_best_fit_packing, op9_secret_scan, op10_ngram_jaccard, pipeline)}
-ORACLE_SQL = {"op6_relational_chat": OP6_SQL}
+ORACLE_SQL = {"op6_relational_chat": OP6_SQL, "op7_capture_index": OP7_SQL}
