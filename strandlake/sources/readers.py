@@ -1,11 +1,8 @@
 """Readers of sequencing formats into typed DataFrames (inventory 2.1). Text is read by Spark's own readers; records of
-several lines are grouped by line number, which Spark gives per file from byte offsets, never in one task."""
+several lines are put together by line number, which comes from the splits' order in their file."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,30 +36,26 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path, ">").select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("description"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("seq"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 0) and value of text files of any size. Lines are counted by split, splits are put in order by their
+    place in the file, and a line's number is its split's offset plus its place there: no task reads a whole file unless it
+    is compressed."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    offsets = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(offsets, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """read_id, seq, qual of four-line records. A quality line may begin with '@', so records are cut by counting
-    lines in file order (mapInArrow carries a partial record to the next batch); files are read whole, one task for each.
+    """read_id, seq, qual of four-line records, put together by line number, as a quality line may begin with '@'.
     mode DROPMALFORMED leaves out records without '@' or '+', FAILFAST raises; a truncated last record is left out."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = gzip.decompress(content) if name.endswith((".gz", ".gzip")) else content
-                lines = raw.decode().split("\n")
-                out: list[tuple[str, str, str]] = []
-                for i in range(0, len(lines) - 3, 4):
-                    h, s, p, q = (x.rstrip("\r") for x in lines[i : i + 4])
-                    if not h.startswith("@") or not p.startswith("+"):
-                        if mode == "FAILFAST":
-                            raise ValueError(f"{name}: malformed record at line {i + 1}")
-                        continue
-                    out.append((h[1:].split()[0] if h[1:].split() else "", s, q))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.string()) for j in range(3)], ["read_id", "seq", "qual"])
-
-    return files.mapInArrow(cut, "read_id string, seq string, qual string")
+    lines = numbered_lines(spark, path)
+    part = [F.max(F.when(F.col("line") % 4 == i, F.regexp_replace("value", "\r$", ""))).alias(n) for i, n in enumerate(("head", "seq", "plus", "qual"))]
+    records = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(*part)
+    bad = F.raise_error(F.concat(F.lit("malformed record "), F.col("record").cast("string"), F.lit(" of "), "file")).cast("boolean") if mode == "FAILFAST" else F.lit(False)
+    good = F.when(F.col("qual").isNull(), False).when(F.col("head").startswith("@") & F.col("plus").startswith("+"), True).otherwise(bad)
+    return records.filter(good).select(F.regexp_extract("head", r"^@(\S*)", 1).alias("read_id"), "seq", "qual")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

@@ -109,3 +109,19 @@ def test_small_readers(spark, tmp_path):
     assert [r.n for r in names.collect()] == ["chrM", "chr1", "GL0.1", "chr2"]
     writers.write_by_key(spark.range(10).withColumn("k", F.when(F.col("id") < 8, "a").otherwise("b")), str(tmp_path / "out"), "k", min_rows=5)
     assert {r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a"}
+
+
+def test_fastq_in_many_splits(spark, tmp_path):
+    want = {f"r{i}": ("ACGT" * (1 + i % 7), "@+I!" * (1 + i % 7)) for i in range(1500)}
+    text = "".join(f"@{k}\n{s}\n+\n{q}\n" for k, (s, q) in want.items())
+    p = put(tmp_path / "big.fq", text)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        reads = readers.read_fastq(spark, p)
+        assert spark.read.text(p).rdd.getNumPartitions() > 5
+        assert {r.read_id: (r.seq, r.qual) for r in reads.collect()} == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
