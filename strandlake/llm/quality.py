@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import _tokens as tk
 
+#: Most languages whose references are sent to every task.
+MAX_LANGUAGES = 5_000
 #: Character classes by (lead) byte.
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "symbol", "control", "latin", "other2", "wide")
 
@@ -171,6 +173,8 @@ def language_references(docs: DataFrame, rules: QualityRules) -> References:
     place = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "code")
     rows = counted.withColumn("place", F.row_number().over(place)).filter((F.col("kind") == 0) | (F.col("place") <= rules.common_words)).collect()
     langs = sorted({r.lang for r in rows})
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; references are sent to all tasks for {MAX_LANGUAGES} at most")
     out = References(langs, np.zeros((len(langs), k)), np.zeros((len(langs), rules.common_words), dtype=np.uint64), np.zeros((len(langs), rules.common_words + 1)))
     for i, lang in enumerate(langs):
         codes = {r.code: r.n for r in rows if r.lang == lang and r.kind == 0}

@@ -34,6 +34,8 @@ from strandlake.llm._runtime import shared_dir, split_by_ids, stored
 
 #: Index lines of a block, payload bytes of a part, compression level of records.
 BLOCK_LINES, PART_BYTES, LEVEL = 256, 16 << 20, 3
+#: Most parts of an archive, so the manifest that lookups carry stays at a few MB; parts of a larger archive are larger.
+MAX_PARTS = 20_000
 
 
 def url_key(url: Column) -> Column:
@@ -85,7 +87,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_revisit_bytes
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     narrow = rows.select("page_id", "sha1", F.octet_length("payload").alias("size"))
-    parts = max(8, int(-(-(narrow.agg(F.sum("size")).first()[0] or 0) // PART_BYTES)))
+    parts = min(MAX_PARTS, max(8, int(-(-(narrow.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))))
     groups = stored(narrow.filter(F.col("size") >= min_revisit_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-groups")
     maybe, alone = split_by_ids(rows, groups, "sha1")
     refers = F.when((F.octet_length("payload") >= min_revisit_bytes) & F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page")), F.col("first_page"))
