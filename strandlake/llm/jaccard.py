@@ -109,33 +109,47 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, node long, blob binary")
 
 
-def _sketch(described: DataFrame) -> np.ndarray:
-    """The summed table as bytes on a logarithmic scale: 4 MB, whatever the input."""
+def levels(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, halvings) of a slice of the table, a byte each.
+
+    order is logarithmic in the distance from the median cell, so frequent shingles stand out however full the table is;
+    halvings says into how many blocks (a power of two) a list must be cut, from what is beyond the cells' own noise.
+    """
+    median = float(np.median(total))
+    z = total - median
+    order = np.clip(128 + np.sign(z) * np.round(6 * np.log2(1 + np.abs(z))), 0, 255).astype(np.uint8)
+    beyond = np.maximum(1.0, (z - 4 * np.sqrt(median)) / LIST_BLOCK)
+    return order, np.ceil(np.log2(beyond)).astype(np.uint8)
+
+
+def _sketch(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The summed table's levels: 8 MB, whatever the input."""
 
     def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICES, dtype=np.int64)
         for b in batches:
             for blob in b.column("blob"):
                 total += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint16)
-        level = np.minimum(np.round(8 * np.log2(total + 1)), 255).astype(np.uint8)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([level.tobytes()], pa.binary())})
+        order, halvings = levels(total)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int64()), "order": pa.array([order.tobytes()], pa.binary()), "halvings": pa.array([halvings.tobytes()], pa.binary())})
 
-    got = described.filter("kind = 1").select(F.col("doc_id").alias("part"), "blob").groupBy("part").applyInArrow(fold, "part long, blob binary").collect()
-    table = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), dtype=np.uint8)
+    got = described.filter("kind = 1").select(F.col("doc_id").alias("part"), "blob").groupBy("part").applyInArrow(fold, "part long, order binary, halvings binary").collect()
+    tables = np.zeros((2, SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), dtype=np.uint8)
     for r in got:
-        table[r.part] = np.frombuffer(r.blob, dtype=np.uint8)
-    return table.reshape(-1)
+        tables[0, r.part] = np.frombuffer(r.order, dtype=np.uint8)
+        tables[1, r.part] = np.frombuffer(r.halvings, dtype=np.uint8)
+    return tables[0].reshape(-1), tables[1].reshape(-1)
 
 
 _ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
-def _entries(docs: DataFrame, sketch: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
+def _entries(docs: DataFrame, sketch: tuple[np.ndarray, np.ndarray], buckets: int, k: int, percent: int) -> DataFrame:
     """(bucket, blob): prefix entries of each distinct set, dealt by shingle."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sent.value
+        order_of, halvings_of = sent.value
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
@@ -161,14 +175,15 @@ def _entries(docs: DataFrame, sketch: np.ndarray, buckets: int, k: int, percent:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(node)
-                    rank = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    cell = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                    rank = order_of[cell]
                     length = int(prefix_length(np.int64(len(s)), percent))
                     mixed = tk.mix(s)
                     first = np.lexsort((mixed, rank))[:length]
                     e = np.empty(length, dtype=_ENTRY)
                     e["h"], e["node"], e["size"], e["pos"] = mixed[first], node, len(s), np.arange(length)
                     # A list longer than a block goes to all pairs of its block with the others.
-                    blocks = np.maximum(1, (np.exp2(rank[first] / 8) // LIST_BLOCK).astype(np.int64))
+                    blocks = 1 << halvings_of[cell[first]].astype(np.int64)
                     if (blocks > 1).any():
                         own = (node & 0x7FFFFFFF) % blocks
                         again = np.repeat(np.arange(length), blocks)

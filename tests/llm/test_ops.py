@@ -394,10 +394,25 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     import strandlake.llm.jaccard as module
 
+    def halved(total):
+        order, _ = levels(total)
+        return order, np.full(len(order), 2, dtype=np.uint8)  # every list in four blocks
+
+    levels = module.levels
     monkeypatch.setattr(module, "ENTRIES_PER_BUCKET", 20)
+    monkeypatch.setattr(module, "levels", halved)
     assert {r.component_id for r in module.jaccard_components(d).collect()} == {0}
 
 
+def test_levels_show_frequent_cells_in_a_full_table():
+    rng = np.random.default_rng(4)
+    total = rng.poisson(3_000_000, 4096)
+    total[7] += 200_000
+    order, halvings = jaccard.levels(total)
+    assert order[7] == order.max() and (1 << int(halvings[7])) * jaccard.LIST_BLOCK >= 190_000
+    assert (np.delete(halvings, 7) == 0).all()
+
+
 def test_overlap_bound_is_never_too_low():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
