@@ -533,3 +533,75 @@ def log_rpkm(counts: DataFrame, sample: str, count: str, length: str) -> DataFra
     rate = F.col(count) / (F.greatest(F.lit(1), F.col(length) - 200) / 1000.0)
     totals = counts.groupBy(sample).agg(F.sum(rate).alias("__t"))
     return counts.join(totals, sample).withColumn("log_expression", F.log2(rate) - F.log2(F.col("__t") / 1e6)).drop("__t")
+
+
+def size_factors(counts: DataFrame, feature: str, sample: str, count: str) -> DataFrame:
+    """A sample's factor is the median, over features that every sample has, of its count over their geometric mean."""
+    logs = counts.filter(F.col(count) > 0).withColumn("__l", F.log(F.col(count).cast("double")))
+    n = counts.agg(F.count_distinct(sample).alias("__n"))
+    means = logs.groupBy(feature).agg(F.avg("__l").alias("__m"), F.count_distinct(sample).alias("__k")).crossJoin(F.broadcast(n)).filter("__k = __n")
+    return logs.join(means, feature).groupBy(sample).agg(F.exp(F.percentile(F.col("__l") - F.col("__m"), 0.5)).alias("size_factor"))
+
+
+def normalised_counts(counts: DataFrame, feature: str, sample: str, count: str) -> DataFrame:
+    """Counts by size factor, and log2 of one more."""
+    value = F.col(count) / F.col("size_factor")
+    return counts.join(size_factors(counts, feature, sample, count), sample).withColumn("normalised", value).withColumn("log2", F.log2(value + 1))
+
+
+def centre_batches(rows: DataFrame, feature: str, batch: str, value: str) -> DataFrame:
+    """Each feature's batch means moved to its mean over the batches."""
+    per = rows.groupBy(feature, batch).agg(F.avg(value).alias("__b"))
+    over = per.groupBy(feature).agg(F.avg("__b").alias("__a"))
+    return rows.join(per, [feature, batch]).join(over, feature).withColumn(value, F.col(value) - F.col("__b") + F.col("__a")).drop("__a", "__b")
+
+
+def pair_dispersion(rows: DataFrame, genes: DataFrame, feature: str, sample: str, value: str) -> DataFrame:
+    """For every pair of samples the deviation of the log ratios of a set of genes."""
+    kept = relational.whitelist(rows, genes, feature).filter(F.col(value) > 0).select(feature, sample, F.log2(value).alias("v"))
+    a, b = kept.withColumnsRenamed({sample: "sample_a", "v": "x"}), kept.withColumnsRenamed({sample: "sample_b", "v": "y"})
+    return a.join(b, feature).filter("sample_a < sample_b").groupBy("sample_a", "sample_b").agg(F.stddev_samp(F.col("x") - F.col("y")).alias("dispersion"), F.count("*").alias("genes"))
+
+
+def exon_similarity(pairs: DataFrame) -> DataFrame:
+    """Local score of two exons' sequences (seq1, seq2) over the shorter length."""
+    scored = pairs.withColumn("score", align.align_column("seq1", "seq2")["score"])
+    return scored.withColumn("similarity", F.col("score") / F.nullif(F.least(F.length("seq1"), F.length("seq2")), F.lit(0)))
+
+
+def assign_by_junctions(reads: DataFrame, isoforms: DataFrame) -> DataFrame:
+    """By the junction profile alone, coding isoforms only: none is contradictory, one unique, more ambiguous."""
+    pairs = reads.join(isoforms.filter("is_coding").select("gene_id", "transcript_id", F.col("profile").alias("t")), "gene_id")
+    fits = pf.diff_only_present(F.col("profile"), F.col("t")) == 0
+    out = pairs.groupBy("read_id", "gene_id").agg(F.array_sort(F.collect_list(F.when(fits, F.col("transcript_id")))).alias("isoforms"))
+    return out.withColumn("assignment_type", F.when(F.size("isoforms") == 0, "contradictory").when(F.size("isoforms") == 1, "unique").otherwise("ambiguous"))
+
+
+def ideal_isoforms(isoforms: DataFrame, codons: DataFrame, least: int = 2, weight: int = 1000) -> DataFrame:
+    """Each coding isoform as a barcode of its own with its codon pair and a weight, of genes with enough pairs."""
+    rows = isoforms.filter("is_coding").join(codons, ["gene_id", "transcript_id"])
+    wide = rows.groupBy("gene_id").agg(F.count_distinct("start_codon", "stop_codon").alias("k")).filter(F.col("k") >= least)
+    return relational.whitelist(rows, wide, "gene_id").select("gene_id", F.col("transcript_id").alias("barcode"), "start_codon", "stop_codon", F.lit(weight).alias("weight"))
+
+
+def resolve_ambiguous(rows: DataFrame, isoforms: DataFrame) -> DataFrame:
+    """Of several isoforms the first that the read's profile matches wherever the isoform's is not -1; else all stay."""
+    each = rows.select("read_id", "gene_id", "profile", "isoforms", F.explode("isoforms").alias("transcript_id")).join(isoforms.select("gene_id", "transcript_id", F.col("profile").alias("t")), ["gene_id", "transcript_id"])
+    clash = F.exists(F.zip_with("profile", "t", lambda x, y: (y != -1) & (x != y)), lambda c: c)
+    best = each.groupBy("read_id", "gene_id").agg(F.min(F.when(~clash, F.col("transcript_id"))).alias("one"), F.first("isoforms").alias("isoforms"))
+    return best.select("read_id", "gene_id", F.when(F.col("one").isNotNull(), F.array("one")).otherwise(F.col("isoforms")).alias("isoforms"))
+
+
+def read_summary(reads: DataFrame, genes: DataFrame, samples: Sequence[str]) -> DataFrame:
+    """TPM by gene and sample, wide, with the gene's length bin and whether it is spliced."""
+    counts = reads.groupBy("gene_id", "sample").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("sample").agg(F.sum("n").alias("__t"))
+    tpm = counts.join(totals, "sample").withColumn("tpm", F.col("n") * 1e6 / F.col("__t"))
+    return relational.pivot_counts(tpm, "gene_id", "sample", samples, F.col("tpm")).join(genes.select("gene_id", "bin", "spliced"), "gene_id", "left")
+
+
+def counts_by_chromosome(counts: Sequence[DataFrame], introns: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Several samples' counts joined to introns by place, all added alike; no row at a chromosome's start is lost."""
+    tables = {n: c.groupBy(F.struct("chr", "start", "end").alias("place")).agg(F.sum("include").alias("n")) for n, c in zip(names, counts)}
+    wide = relational.outer_counts(tables, "place", "n")
+    return introns.join(wide, F.struct("chr", "start", "end") == F.col("place"), "left").drop("place").na.fill(0, list(names))

@@ -116,3 +116,33 @@ def test_generators(spark):
     assert set(sim.truncate_reads(reads, 1, 50, 5).first().seq) == {"C"}
     assert rows(sim.fake_umis(reads, 3, 1, 2).filter("copy = 0"), "umi") == [("GG",)] and sim.fake_umis(reads, 3, 1).count() == 4
     assert sim.guide_reference(frame(spark, "id string, seq string", ("g", "AC")), "TT", "GG").count() == 3
+
+
+def test_matrices(spark):
+    c = frame(spark, "f string, s string, n long", *[(f"g{i}", s, (i + 1) * k) for i in range(5) for s, k in (("a", 1), ("b", 4))])
+    factors = dict(rows(d.size_factors(c, "f", "s", "n"), "s", "size_factor"))
+    assert factors["a"] == pytest.approx(0.5) and factors["b"] == pytest.approx(2)
+    by = {(r.f, r.s): r.normalised for r in d.normalised_counts(c, "f", "s", "n").collect()}
+    assert by["g2", "a"] == pytest.approx(by["g2", "b"])
+    b = frame(spark, "f string, b string, v double", ("g", "x", 1.0), ("g", "x", 3.0), ("g", "y", 10.0))
+    assert [r[0] for r in rows(d.centre_batches(b, "f", "b", "v"), "v")] == [5.0, 6.0, 7.0]
+    p = d.pair_dispersion(c, frame(spark, "f string", ("g0",), ("g1",), ("g2",)), "f", "s", "n").first()
+    assert (p.sample_a, p.genes) == ("a", 3) and p.dispersion == pytest.approx(0)
+    places = frame(spark, "chr string, start long, end long", ("1", 5, 9), ("2", 1, 2))
+    one = frame(spark, "chr string, start long, end long, include long", ("1", 5, 9, 3), ("1", 5, 9, 4))
+    assert rows(d.counts_by_chromosome([one, one.limit(0)], places, ["a", "b"]), "chr", "a", "b") == [("1", 7, 0), ("2", 0, 0)]
+
+
+def test_legacy_assignment(spark):
+    iso = frame(spark, "gene_id string, transcript_id string, profile array<int>, is_coding boolean", ("g", "t1", [1, -1], True), ("g", "t2", [1, 1], True), ("g", "t3", [-1, 1], False))
+    reads = frame(spark, "read_id string, gene_id string, profile array<int>", ("a", "g", [1, 0]), ("b", "g", [1, 1]), ("c", "g", [-1, -1]))
+    got = d.assign_by_junctions(reads, iso)
+    assert rows(got, "read_id", "assignment_type") == [("a", "ambiguous"), ("b", "unique"), ("c", "contradictory")]
+    again = d.resolve_ambiguous(got.join(reads, ["read_id", "gene_id"]).filter("read_id = 'a'"), iso).first()
+    assert again.isoforms == ["t1"]
+    pairs = frame(spark, "seq1 string, seq2 string", ("ACGT", "TTACGTTT"))
+    assert d.exon_similarity(pairs).first().similarity == 1.0
+    codons = frame(spark, "gene_id string, transcript_id string, start_codon long, stop_codon long", ("g", "t1", 1, 9), ("g", "t2", 1, 12))
+    assert d.ideal_isoforms(iso, codons).count() == 2
+    s = d.read_summary(frame(spark, "gene_id string, sample string", ("g", "x"), ("g", "x"), ("h", "x")), frame(spark, "gene_id string, bin int, spliced boolean", ("g", 1, True)), ["x", "y"])
+    assert rows(s.na.fill(0), "gene_id", "y") == [("g", 0.0), ("h", 0.0)]
