@@ -34,6 +34,8 @@ SKETCH_BITS, SKETCH_SLICES = 22, 16
 #: Entries for a task, and members of a list that a tile takes; longer lists are cut into pairs of blocks.
 ENTRIES_PER_BUCKET, LIST_BLOCK = 400_000, 30_000
 LEADERS = 3
+#: Sets that a task remembers, so that repeated ones are counted and sent once.
+MAX_SEEN = 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
@@ -89,19 +91,33 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
     """kind 0: (doc_id, n, node) of each row; kind 1: slices of the counts of hashed shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        cells = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def count() -> None:
+            nonlocal size
+            if held:
+                np.add(cells, np.bincount(np.concatenate(held), minlength=len(cells)), out=cells, casting="unsafe")
+            held.clear()
+            size = 0
+
         for b in batches:
             for first, end, data, offsets in tk.slices(b.column(1)):
                 sets = shingle_sets(data, offsets, k)
                 nodes = [_node(s) for s in sets]
                 new = [s for s, x in zip(sets, nodes) if x not in seen and not seen.add(x)]
-                if len(seen) > 500_000:
+                if len(seen) > MAX_SEEN:
                     seen.clear()
                 if new:
-                    cells += np.bincount((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
+                    held.append((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                    size += len(held[-1])
+                    if size > 2_000_000:
+                        count()
                 n = end - first
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(n, dtype=np.int32)), "doc_id": b.column(0).slice(first, n).cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()), "blob": pa.array([None] * n, pa.binary())})
+        count()
         if cells.any():
             parts = np.minimum(cells, 65535).astype(np.uint16).reshape(SKETCH_SLICES, -1)
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(SKETCH_SLICES, dtype=np.int32)), "doc_id": pa.array(range(SKETCH_SLICES), pa.int64()), "n": pa.array([0] * SKETCH_SLICES, pa.int64()), "node": pa.array([0] * SKETCH_SLICES, pa.int64()), "blob": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
@@ -172,7 +188,7 @@ def _entries(docs: DataFrame, sketch: tuple[np.ndarray, np.ndarray], buckets: in
                 for s in shingle_sets(data, offsets, k):
                     if not len(s) or (node := _node(s)) in seen:
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > MAX_SEEN:
                         seen.clear()
                     seen.add(node)
                     cell = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
@@ -193,7 +209,7 @@ def _entries(docs: DataFrame, sketch: tuple[np.ndarray, np.ndarray], buckets: in
                         e["h"][cut] = tk.mix(e["h"][cut] ^ (np.minimum(mine, other)[cut].astype(np.uint64) << np.uint64(32)) ^ np.maximum(mine, other)[cut].astype(np.uint64))
                     held.append(e)
                     size += len(e)
-                if size > 1_500_000:
+                if size > 600_000:
                     yield from flush()
                     size = 0
         yield from flush()

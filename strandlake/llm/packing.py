@@ -34,7 +34,7 @@ LARGE, GROUPS = 2, 64
 #: Pieces for a task when they are ranked.
 PIECES_PER_BUCKET = 50_000
 #: Words whose ids a Python worker remembers.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 800_000
 Line = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and (length, how many) in each
 
 

@@ -127,6 +127,11 @@ def _threshold(y: np.ndarray, z: np.ndarray) -> float:
 def fit_chain(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, categories: tuple[str, ...], folds: int = 3, n_features: int = 300) -> Chain:
     """labels: (documents, categories) of 0 and 1. rows, keys: presence of hashed words, sorted by row."""
     chain, n = Chain(categories), len(labels)
+    # Features of one or two documents are never chosen; most are, so they go first.
+    _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    often = times[at] >= 3
+    rows, keys = rows[often].astype(np.int32), keys[often]
+    del at, often
     fold = np.arange(n) % folds
     earlier = np.zeros((n, 0))
     for c in range(len(categories)):
