@@ -6,6 +6,7 @@ depend on how many distinct words there are and no dictionary is kept.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,22 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer single document is handled alone.
 SLICE_BYTES = 1 << 20
 
+
+
+def _give_back_freed_memory() -> None:
+    """Python workers live through many stages: what a stage frees goes back to the system at once, arrays and Arrow
+    batches alike, else each worker keeps its largest moment."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back_freed_memory()
+
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
