@@ -1,9 +1,10 @@
 """Best-fit packing by a linear grouping scheme.
 
 The plan is made on the histogram of lengths (at most `capacity` numbers): lengths above capacity / LARGE are rounded up
-within groups of equal cardinality, configurations of these few sizes fill sequences one after another, each as often as
+within groups of equal cardinality (not at all if there are no more lengths than groups), configurations of these few sizes fill sequences one after another, each as often as
 the counts allow; actual lengths take the places of rounded ones, which frees room; then the small lengths go, largest
-first, where they fit best, and open new sequences where none has room.  Pieces then find their places by their rank among
+first, where they fit best, and open new sequences where none has room.  Where rounding costs more than it finds, best fit
+of all lengths needs fewer sequences, and that plan is taken.  Pieces then find their places by their rank among
 the pieces of their length.  The plan's lines are bounded by the capacity and the groups, not by the documents, as every
 line stands for any number of sequences alike.
 
@@ -30,7 +31,7 @@ from strandlake.llm._runtime import stored
 CAPACITY = 4096
 END_ID = 1
 #: Lengths above capacity / LARGE are grouped, in GROUPS groups.
-LARGE, GROUPS = 2, 64
+LARGE, GROUPS = 6, 64
 #: Pieces for a task when they are ranked.
 PIECES_PER_BUCKET = 50_000
 #: Words whose ids a Python worker remembers.
@@ -40,37 +41,39 @@ Line = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and (lengt
 
 def _configuration(sizes: list[int], left: list[int], first: int, capacity: int) -> list[int]:
     """Groups of the fullest sequence that starts with group `first`, each at most as often as it is left."""
-    best: list[int] = []
-    best_fill = -1
+    room = capacity - sizes[first]
+    sums, steps = 1, []  # bit i: groups can fill i of the room; exact, and a matter of capacity bits for each place
+    for g in range(len(sizes) - 1, first - 1, -1):
+        for _ in range(min(left[g] - (g == first), room // sizes[g])):
+            steps.append((g, sums))
+            sums |= (sums << sizes[g]) & ((2 << room) - 1)
+    fill, used = sums.bit_length() - 1, [first]
+    for g, before in reversed(steps):  # longest first
+        if fill >= sizes[g] and before >> (fill - sizes[g]) & 1:
+            used.append(g)
+            fill -= sizes[g]
+    return used
 
-    def extend(used: list[int], fill: int, start: int) -> None:
-        nonlocal best, best_fill
-        if fill > best_fill:
-            best, best_fill = used, fill
-        for g in range(start, len(sizes)):
-            if best_fill == capacity:
-                return
-            if fill + sizes[g] <= capacity and used.count(g) < left[g]:
-                extend([*used, g], fill + sizes[g], g)
 
-    extend([first], sizes[first], first)
-    return best
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, large: int = LARGE, groups: int = GROUPS) -> list[Line]:
+    """Lines that together hold every length as often as the histogram has it: grouped or plain best fit, whichever needs fewer sequences."""
+    plans = [_plan(histogram, capacity, large, groups), _plan(histogram, capacity, 1, groups)]
+    return min(plans, key=lambda lines: sum(times for times, _ in lines))
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, large: int = LARGE, groups: int = GROUPS) -> list[Line]:
-    """Lines that together hold every length as often as the histogram has it."""
+def _plan(histogram: dict[int, int], capacity: int, large: int, groups: int) -> list[Line]:
     big = sorted((n for n in histogram if n > capacity // large), reverse=True)
     total = sum(histogram[n] for n in big)
     runs: list[list[list[int]]] = []  # of each group: [length, count], longest first
     if total:
-        per = -(-total // groups)
+        per, rounded = -(-total // groups), len(big) > groups
         room = 0
         for n in big:
             count = histogram[n]
             while count:
                 if not room:
                     runs.append([])
-                    room = per
+                    room = per if rounded else count
                 take = min(room, count)
                 runs[-1].append([n, take])
                 room -= take

@@ -302,6 +302,22 @@ def test_plan_holds_every_length():
     assert packing.plan_sequences({}) == []
 
 
+def test_plan_mixes_mid_sizes():
+    """Best fit alone fills sequences with copies of one length: 1.17 n and 35,000 sequences."""
+    assert sum(t for t, _ in packing.plan_sequences({1800: 600, 1200: 600, 1096: 600})) == 600
+    rng = np.random.default_rng(0)
+    h = collections.Counter(np.concatenate([rng.integers(a, a + 11, 30_000) for a in (1790, 1190, 1086)]).tolist())
+    lines = packing.plan_sequences(dict(h))
+    got = collections.Counter()
+    for times, items in lines:
+        assert sum(a * b for a, b in items) <= 4096
+        for a, b in items:
+            got[a] += times * b
+    assert got == h and sum(t for t, _ in lines) <= 30_000 * 1.01
+    for h in ({n: 50 for n in range(700, 4097)}, {n: 50 for n in range(1025, 2049)}):  # rounding costs: no more than best fit
+        assert sum(t for t, _ in packing.plan_sequences(h)) <= sum(t for t, _ in packing._plan(h, 4096, 1, 64))
+
+
 # 9
 
 
