@@ -2,7 +2,7 @@
 
 Fixed masks pick some of the words of a window and leave out others, so a window still hashes alike when a left-out word was
 substituted.  Hashes of benchmark items and documents are joined; around each hit the two texts are laid side by side
-and the best run, with substitutions, is measured; only that verified overlap counts.
+and the run with most equal words, of those with few enough substitutions, is measured; only that verified overlap counts.
 
 The benchmark side is sent to all tasks in blocks of at most block_bytes of text, one pass over the documents for each.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -98,16 +99,24 @@ class Index:
         return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
 
     def overlap(self, words: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int]:
-        """(equal words, substituted words, first word, end word) of the best run on a diagonal."""
+        """(equal words, substituted words, first word, end word) of the run with most equal words, on a diagonal, that is
+        substituted by max_subst at most: to every end belongs the earliest start from which the share holds."""
         theirs = self.items[item]
         first, end = max(0, diagonal), min(len(words), diagonal + len(theirs))
         same = words[first:end] == theirs[first - diagonal : end - diagonal]
-        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        drop = score - np.minimum.accumulate(score)
-        b = int(np.argmax(drop))
-        a = int(np.flatnonzero(score[: b + 1] == score[: b + 1].min())[-1])
-        equal = int(same[a:b].sum())
-        return equal, b - a - equal, first + a, first + b
+        at = np.flatnonzero(same)
+        if not len(at):
+            return 0, 0, first, first
+        share = Fraction(self.rule.max_subst).limit_denominator(10_000)
+        score = np.concatenate([[0], np.cumsum(np.where(same, share.numerator, share.numerator - share.denominator))])
+        equal = np.concatenate([[0], np.cumsum(same)])
+        ends = at + 1  # a run starts and ends with an equal word
+        starts = np.searchsorted(-np.minimum.accumulate(score), -score[ends])
+        starts = at[equal[starts]]
+        n = equal[ends] - equal[starts]
+        other = ends - starts - n
+        i = np.lexsort((starts, other, -n))[0]
+        return int(n[i]), int(other[i]), int(first + starts[i]), int(first + ends[i])
 
     def find(self, words: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Verified overlaps: (item id, equal, substituted, first word, end word), the best one of each item."""

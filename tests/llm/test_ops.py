@@ -87,6 +87,22 @@ def test_decontamination_against_brute_force(spark, docs, texts):
     assert len(got) == len(texts) and want and want <= {r.doc_id for r in got if r.contaminated}
 
 
+def test_decontamination_keeps_good_runs_beside_bad_ones(spark):
+    words = [f"w{i}" for i in range(70)]
+    parts = [i % 19 < 13 for i in range(70)]  # four verbatim stretches of 13 words, three rewrites of 6 words between them
+    rows = spark.createDataFrame([(1, " ".join(w if k else "X" for w, k in zip(words, parts)))], "doc_id long, text string")
+    got = decontaminate.find_overlaps(rows, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).first()
+    assert got.contaminated and got.overlaps[0].matched >= 13 and got.overlaps[0].substituted * 3 <= got.overlaps[0].matched
+    rule, rng = decontaminate.Overlap(), np.random.default_rng(0)
+    index = decontaminate.Index([(1, " ".join(words[:40]))], rule)
+    for _ in range(200):
+        doc = np.where(rng.random(40) < rng.choice([0.2, 0.3, 0.4]), np.uint64(7), index.items[0])
+        same = doc == index.items[0]
+        want = max((int(same[a:b].sum()), int(same[a:b].sum()) - (b - a), -a) for a in range(40) for b in range(a + 1, 41) if (~same[a:b]).sum() <= 0.25 * (b - a))
+        equal, other, a, b = index.overlap(doc, 0, 0)
+        assert (equal, -other, -a) == want and b - a == equal + other
+
+
 # 2
 
 
