@@ -6,7 +6,8 @@ from a seed: keys in the forms that services issue against the identifiers, hash
 placeholders that look like them.  Its scores are calibrated (Platt) on a held-out part, and the threshold is the highest
 that keeps the wanted recall there.
 
-Defined cases: null text is empty; a candidate over another finding is not reported again; equal starts are in the order of
+Defined cases: null text is empty; a candidate inside another finding is not reported again, of one that goes beyond it the
+rest, or the longer word that holds the finding, is judged; equal starts are in the order of
 KINDS; repeated rows are scanned alike; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -192,6 +193,34 @@ def _runs(inside: np.ndarray, edge: np.ndarray, least: int) -> tuple[np.ndarray,
     return starts[long], ends[long]
 
 
+def _beside(text: str, a: int, b: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Candidates in the run [a, b): all of it, or what base findings leave.
+
+    Where a hex or access finding is only a part of a longer word of letters and digits, that word is a candidate, finding
+    included; the rest of the run, cut at findings and such words, gives those of its pieces that are candidates themselves.
+    """
+    gone = []
+    out = []
+    for kind, x, y in base:
+        if x < b and a < y:
+            u, v = max(x, a), min(y, b)
+            if kind != "assign":
+                while u > a and text[u - 1].isalnum():
+                    u -= 1
+                while v < b and text[v].isalnum():
+                    v += 1
+                if (u, v) != (max(x, a), min(y, b)) and (u, v) not in out:
+                    out.append((u, v))
+            gone.append((u, v))
+    till = a
+    for u, v in [*sorted(gone), (b, b)]:
+        piece = text[till:u]
+        if len(piece) >= 16 and re.search("[0-9]", piece) and re.search("[A-Za-z]", piece):
+            out.append((till, u))
+        till = max(till, v)
+    return [(x, y) for x, y in out if not any(u <= x and y <= v for _, u, v in base)]
+
+
 def scan_slice(data: np.ndarray, offsets: np.ndarray, texts: list[str], net: CharNet) -> list[list[tuple[str, int, int, float]]]:
     """(kind, start, end, score) of each document, by start and kind; code points."""
     edge = np.zeros(len(data) + 1, dtype=bool)
@@ -222,8 +251,8 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, texts: list[str], net: Cha
     digits, alphas = np.concatenate([[0], np.cumsum(_DIGIT[data])]), np.concatenate([[0], np.cumsum(_LETTER[data])])
     mixed = (digits[ends] > digits[starts]) & (alphas[ends] > alphas[starts])
     for d, a, b in place(starts[mixed], ends[mixed]):
-        if not any(x < b and a < y for _, x, y in found.get(d, [])):
-            found.setdefault(d, []).append(("learned", a, b))
+        for x, y in _beside(texts[d], a, b, [f for f in found.get(d, []) if f[0] != "learned"]):
+            found.setdefault(d, []).append(("learned", x, y))
     places = [(d, f) for d, fs in found.items() for f in fs]
     scores = net.score(np.stack([_codes(texts[d], f[1]) for d, f in places])) if places else np.zeros(0)
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
