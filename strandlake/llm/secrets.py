@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, judged by a character convolutional network in numpy.
 
 Candidates are the matches of three patterns (always reported) and every run of 16 and more key characters with both
-digits and letters; the network sees each with its surroundings.  It is trained on labelled findings that are made by rule
+digits and letters; the network sees each with its surroundings, a long one through windows slid over it, of which the highest score
+counts.  It is trained on labelled findings that are made by rule
 from a seed: keys in the forms that services issue against the identifiers, hashes in commit lines, dates, paths and
 placeholders that look like them.  Its scores are calibrated (Platt) on a held-out part, and the threshold is the highest
 that keeps the wanted recall there.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from strandlake.llm import _tokens as tk
 KINDS = ("assign", "access", "hex", "learned")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _KEY = np.zeros(256, dtype=bool)
 _KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
@@ -33,8 +36,11 @@ _HEX = tk.table("0123456789abcdef")
 _UPPER = tk.table("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _DIGIT = tk.table("0123456789")
 _LETTER = tk.table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-#: The network's window: characters before the candidate's start, and all.
-BEFORE, WINDOW = 24, 72
+#: The network's window: characters before its place, and all; the first place is the candidate's start, the next STEP later each.
+BEFORE, WINDOW, STEP = 24, 72, 24
+#: Characters after the candidate's end that the last window of a long one holds.
+AFTER = 8
+_SYLLABLES = ["an", "der", "ing", "tion", "er", "on", "the", "que", "ent", "lich", "ou", "ar", "ung", "ver", "es", "ist", "re", "al"]
 _ALPHABET = 100
 
 
@@ -48,6 +54,11 @@ def _codes(text: str, start: int) -> np.ndarray:
     return out
 
 
+def _places(start: int, end: int) -> range:
+    """Places of the windows over a candidate, so that every part of it has what stands on both sides."""
+    return range(start, max(end + AFTER - (WINDOW - BEFORE), start) + STEP, STEP)
+
+
 class CharNet:
     """Embedding, one convolution, ReLU, maximum and mean over the candidate's window, a linear layer."""
 
@@ -74,6 +85,16 @@ class CharNet:
         """Calibrated probabilities."""
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -35, 35)))
 
+    def judge(self, found: list[tuple[str, int, int]]) -> np.ndarray:
+        """Of each (text, start, end) the highest calibrated probability of its windows."""
+        n = np.array([len(_places(a, b)) for _, a, b in found], dtype=np.int64)
+        out = np.zeros(len(found))
+        at = ((i, t, s) for i, (t, a, b) in enumerate(found) for s in _places(a, b))
+        for _ in range(0, int(n.sum()), 4096):
+            part = list(islice(at, 4096))
+            np.maximum.at(out, [i for i, _, _ in part], self.score(np.stack([_codes(t, s) for _, t, s in part])))
+        return out
+
     def train(self, x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 10, batch: int = 64, rate: float = 0.01) -> None:
         r = np.random.default_rng(seed)
         m, v, t = {k: 0 * p for k, p in self.p.items()}, {k: 0 * p for k, p in self.p.items()}, 0
@@ -104,8 +125,8 @@ class CharNet:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the highest threshold with the wanted recall."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, found: list[tuple[str, int, int]] | None = None) -> None:
+        """Platt scaling by Newton steps, then the highest threshold with the wanted recall of x, or of the secrets in found."""
         z = self.raw(x)
         a, b = 1.0, 0.0
         for _ in range(30):
@@ -115,15 +136,15 @@ class CharNet:
             hess = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum()]])
             a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
         self.scale, self.shift = float(a), float(b)
-        found = np.sort(self.score(x)[y == 1])
-        self.threshold = float(found[int(np.floor((1 - recall) * len(found)))])
+        scores = np.sort(self.score(x)[y == 1] if found is None else self.judge(found))
+        self.threshold = float(scores[int(np.floor((1 - recall) * len(scores)))])
 
 
 def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int]], np.ndarray]:
     """n (text, candidate start) and whether each is a secret; made by rule."""
     r = np.random.default_rng(seed)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    syllables = ["an", "der", "ing", "tion", "er", "on", "the", "que", "ent", "lich", "ou", "ar", "ung", "ver", "es", "ist", "re", "al"]
+    syllables = _SYLLABLES
 
     def chars(alphabet: str, k: int) -> str:
         return "".join(alphabet[i] for i in r.integers(0, len(alphabet), k))
@@ -173,15 +194,59 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int]], np.ndar
     return out, y
 
 
+def labelled_runs(n: int, seed: int) -> tuple[list[tuple[str, int, int, int, int]], np.ndarray]:
+    """n (text, start and end of a long candidate, start and end of the finding in it) and whether that is a secret.
+
+    The findings of labelled_findings() stand at the end or within paths and chains of names and values.
+    """
+    r = np.random.default_rng(seed)
+
+    def word() -> str:
+        return "".join(_SYLLABLES[i] for i in r.integers(0, len(_SYLLABLES), r.integers(1, 4)))
+
+    def chain(least: int, mark: str) -> str:
+        out = ""
+        while len(out) < least:
+            out += mark + [word(), word(), word().upper(), word() + str(r.integers(0, 100)), str(r.integers(0, 3000))][r.integers(0, 5)]
+        return out
+
+    found, y = labelled_findings(n, seed + 1)
+    out = []
+    for text, start in found:
+        item = _KEY_RUN.match(text, start)[0]
+        mark = "/_=-"[r.integers(0, 4)]
+        head = chain(int(r.integers(10, 120)), mark) + mark
+        tail = chain(int(r.integers(5, 80)), mark) if r.integers(0, 3) == 0 else ""
+        a, b = start + len(head), start + len(head) + len(item)
+        out.append((text[:start] + head + item + tail + text[start + len(item) :], start, b + len(tail), a, b))
+    return out, y
+
+
+def _run_windows(runs: list[tuple[str, int, int, int, int]], y: np.ndarray) -> tuple[list[tuple[str, int]], np.ndarray]:
+    """(text, place) of the windows over long candidates, and whether the secret is seen; those that see a part are left out."""
+    out, labels = [], []
+    for (text, start, end, a, b), secret in zip(runs, y):
+        for s in _places(start, end):
+            seen = min(b, s - BEFORE + WINDOW) - max(a, s - BEFORE)
+            if not secret or seen <= 4 or seen >= min(b - a, WINDOW - BEFORE):
+                out.append((text, s))
+                labels.append(bool(secret) and seen > 4)
+    return out, np.array(labels, dtype=float)
+
+
 @lru_cache(maxsize=4)
 def trained(n: int = 3_000, recall: float = 0.97, seed: int = 5) -> CharNet:
-    """A network trained on two thirds of n labelled findings and calibrated on the rest."""
+    """A network trained on two thirds of n labelled findings and n / 3 long candidates, and calibrated on the rest."""
     found, y = labelled_findings(n, seed)
     x = np.stack([_codes(t, s) for t, s in found])
-    cut = n * 2 // 3
+    runs, z = labelled_runs(n // 3, seed + 1)
+    cut, long = n * 2 // 3, len(runs) * 2 // 3
+    seen, labels = _run_windows(runs[:long], z[:long])
     net = CharNet(seed)
-    net.train(x[:cut], y[:cut], seed)
-    net.calibrate(x[cut:], y[cut:], recall)
+    net.train(np.concatenate([x[:cut], np.stack([_codes(t, s) for t, s in seen])]), np.concatenate([y[:cut], labels]), seed)
+    held = [(t, s, _KEY_RUN.match(t, s).end()) for (t, s), secret in zip(found[cut:], y[cut:]) if secret]
+    held += [(t, a, b) for (t, a, b, _, _), secret in zip(runs[long:], z[long:]) if secret]
+    net.calibrate(x[cut:], y[cut:], recall, held)
     return net
 
 
@@ -254,7 +319,7 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, texts: list[str], net: Cha
         for x, y in _beside(texts[d], a, b, [f for f in found.get(d, []) if f[0] != "learned"]):
             found.setdefault(d, []).append(("learned", x, y))
     places = [(d, f) for d, fs in found.items() for f in fs]
-    scores = net.score(np.stack([_codes(texts[d], f[1]) for d, f in places])) if places else np.zeros(0)
+    scores = net.judge([(texts[d], f[1], f[2]) for d, f in places])
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     for (d, (kind, a, b)), s in zip(places, scores):
         if kind != "learned" or s >= net.threshold:

@@ -384,6 +384,20 @@ def test_network_is_calibrated_and_recalls():
     assert abs(p.mean() - y.mean()) < 0.05
 
 
+def test_secrets_at_the_end_of_long_runs(spark):
+    key = "q7Rk2mZx81LpTn0vBw93XyEdA5cVgH6uJs4f"
+    path = "/srv/deployments/production/eu-central/releases/current/v12/"
+    chain = "STAGE=production-REGION=eu-central-1-REPLICAS=12-IMAGE=frontend-KEY="
+    hard = [path + "ghp_" + key, chain + key, path + key + path, path + "index-page-12", "see " + path + path + "notes-2024 and on"]
+    rows = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")
+    red = {r.doc_id: r.text for r in secrets.redact_secrets(rows).collect()}
+    assert all(key not in red[i] for i in range(3)) and all(red[i] == hard[i] for i in (3, 4))
+    net = secrets.trained()
+    runs, y = secrets.labelled_runs(600, 77)
+    p = net.judge([(t, a, b) for t, a, b, _, _ in runs])
+    assert (p[y == 1] >= net.threshold).mean() >= 0.9 and (p[y == 0] < net.threshold).mean() >= 0.93
+
+
 # 10
 
 
