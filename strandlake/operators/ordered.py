@@ -112,10 +112,10 @@ def thin_positions(rows: DataFrame, key: str, pos: str, gap: int = 100) -> DataF
 
 
 def umi_clusters(rows: DataFrame, keys: list[str], umi: str, trusted: str, count: str, order: str, max_distance: int) -> DataFrame:
-    """Greedy clusters of UMIs in order of `order`: a UMI joins the first cluster whose head is near, else founds one.
+    """Greedy clusters of UMIs in order of `order`: a UMI joins the cluster whose head is nearest, the first of equally near ones, if that is near enough, else founds one.
 
-    Near means edit distance less the difference of lengths is at most max_distance (0: one holds the other; below 0: all
-    are one). Equal UMIs are collapsed first, so a group's size is its distinct UMIs.
+    The distance is the edit distance less the difference of lengths, and near enough is max_distance (0: one holds the
+    other, the distance is the difference of lengths; below 0: all are one). Equal UMIs are collapsed first, so a group's size is its distinct UMIs.
     """
     distinct = rows.groupBy(*keys, umi).agg(F.bool_or(trusted).alias(trusted), F.sum(count).alias(count), F.min(order).alias(order))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema) + ", cluster string"
@@ -125,7 +125,8 @@ def umi_clusters(rows: DataFrame, keys: list[str], umi: str, trusted: str, count
         out = []
         group = group.sort_values([order, umi])
         for u in group[umi]:
-            head = next((h for h in heads if max_distance < 0 or _near(h, u, max_distance)), None)
+            near = [(d, i) for i, h in enumerate(heads) if (d := _distance(h, u, max_distance)) is not None]
+            head = heads[min(near)[1]] if near else None
             if head is None:
                 heads.append(u)
                 head = u
@@ -135,10 +136,14 @@ def umi_clusters(rows: DataFrame, keys: list[str], umi: str, trusted: str, count
     return distinct.groupBy(*keys).applyInPandas(cluster, schema)
 
 
-def _near(a: str, b: str, most: int) -> bool:
+def _distance(a: str, b: str, most: int) -> int | None:
+    """How far a head is, None if it is too far."""
+    if most < 0:
+        return 0
     if most == 0:
-        return a in b or b in a
-    return levenshtein(a, b) - abs(len(a) - len(b)) <= most
+        return abs(len(a) - len(b)) if a in b or b in a else None
+    d = levenshtein(a, b) - abs(len(a) - len(b))
+    return d if d <= most else None
 
 
 def levenshtein(a: str, b: str) -> int:

@@ -35,6 +35,19 @@ def test_umi_clusters(spark):
     assert {r.cluster for r in ordered.umi_clusters(short, ["k"], "umi", "trusted", "n", "o", 0).collect()} == {"ACGT"}
 
 
+def test_umi_clusters_take_the_nearest_head(spark):
+    rows = [("g", "AAAAAAAA", True, 1, 1), ("g", "AAAATTTT", True, 1, 2), ("g", "AAAAATTT", True, 1, 3), ("g", "AAAAAATT", True, 1, 4)]
+    d = spark.createDataFrame(rows, "k string, umi string, trusted boolean, n long, o long")
+    got = {r.umi: r.cluster for r in ordered.umi_clusters(d, ["k"], "umi", "trusted", "n", "o", 3).collect()}
+    assert got == {"AAAAAAAA": "AAAAAAAA", "AAAATTTT": "AAAATTTT", "AAAAATTT": "AAAATTTT", "AAAAAATT": "AAAAAAAA"}
+    two = spark.createDataFrame([("g", u, True, 1, i) for i, u in enumerate(["AAAAAAAA", "AAATTTAA", "AAAATTAA"])], d.schema)
+    got = {r.umi: r.cluster for r in ordered.umi_clusters(two, ["k"], "umi", "trusted", "n", "o", 2).collect()}
+    assert got["AAATTTAA"] == "AAATTTAA" and got["AAAATTAA"] == "AAATTTAA"  # two edits from the first head, one from the second
+    whole = spark.createDataFrame([("g", u, True, 1, i) for i, u in enumerate(["ACGTACGT", "CGTAC", "CGTACG"])] + [("h", u, True, 1, i) for i, u in enumerate(["TTACGTTT", "GACGTG", "ACGT"])], d.schema)
+    got = {(r.k, r.umi): r.cluster for r in ordered.umi_clusters(whole, ["k"], "umi", "trusted", "n", "o", 0).collect()}
+    assert got["g", "CGTACG"] == "ACGTACGT" and got["h", "ACGT"] == "GACGTG"
+
+
 def test_ranked_collapse_and_coordinates(spark):
     d = spark.createDataFrame([("g", "AAAA")] * 3 + [("g", "AAAT")] + [("g", "TTTT")], "k string, umi string")
     assert {(r.umi, r.n) for r in ordered.ranked_umi_collapse(d, ["k"], "umi", 2).collect()} == {("AAAA", 3), ("TTTT", 1)}
