@@ -99,14 +99,27 @@ def accuracy(rows: DataFrame, called: Column, truth: Column, by: Sequence[str] =
     return out.withColumns({"precision": 100.0 * F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), "recall": 100.0 * F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))})
 
 
-def accuracy_by_threshold(rows: DataFrame, score: str, correct: str) -> DataFrame:
-    """Called, correct and precision at or above every score that occurs."""
+def accuracy_by_threshold(rows: DataFrame, score: str, correct: str, recall: bool = False) -> DataFrame:
+    """Called, correct and precision at or above every score that occurs.
+
+    With recall, rows with a null score are reads without a call, and recall is the share of correct ones in all reads.
+    """
+    if recall:
+        out = accuracy_by_threshold(rows.filter(F.col(score).isNotNull()), score, correct)
+        return out.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all")))).withColumn("recall", 100.0 * F.col("correct") / F.col("__all")).drop("__all")
     per = rows.groupBy(score).agg(F.count("*").alias("__n"), F.count_if(correct).alias("__c"))  # few scores: the window is small
     w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     out = per.select(score, F.sum("__n").over(w).alias("called"), F.sum("__c").over(w).alias("correct"))
     return out.withColumn("precision", 100.0 * F.col("correct") / F.col("called"))
 
 
+def umis_within(rows: DataFrame, umi: str, truth: str, trusted: str | None = None, length: int = 13) -> DataFrame:
+    """UMIs, cut to length, within 1, 2 and 3 edits of the truth, cumulative; with trusted, also those of trusted rows."""
+    d = F.levenshtein(F.substring(umi, 1, length), F.col(truth))
+    flags = {"": F.lit(True)} | ({"trusted_": F.col(trusted)} if trusted else {})
+    return rows.agg(*[F.count_if((d <= k) & f).alias(f"{name}within_{k}") for name, f in flags.items() for k in (1, 2, 3)])
+
+
 def quantification_accuracy(rows: DataFrame, observed: str, truth: str) -> DataFrame:
     """Exact, within 10 and 20 per cent, false and missed."""
     o, t = F.col(observed), F.col(truth)

@@ -87,8 +87,16 @@ def edited_positions(rows: DataFrame, min_g_cov: float) -> DataFrame:
     return kept.withColumn("strand", F.when(F.col("subs") == "TC", "-").otherwise(F.col("strand")))
 
 
-def guide_calls(reads: DataFrame, min_umis: int = 1) -> DataFrame:
-    """Barcodes with one dominant guide by distinct UMIs."""
+def guide_calls(reads: DataFrame, min_umis: int = 1, guides: DataFrame | None = None) -> DataFrame:
+    """Barcodes with one dominant guide by distinct UMIs.
+
+    With guides (guide, seq), reads also have verified and guide_seq: one that is not verified counts for the guide whose
+    sequence its own equals (the first by name), together with that guide's verified reads, and otherwise not at all.
+    """
+    if guides is not None:
+        named = guides.groupBy(F.col("seq").alias("guide_seq")).agg(F.min("guide").alias("__guide"))
+        rescued = reads.filter(~F.coalesce("verified", F.lit(False))).join(named, "guide_seq").select("barcode", F.col("__guide").alias("guide"), "umi")
+        reads = reads.filter("verified").select("barcode", "guide", "umi").unionByName(rescued)
     support = reads.groupBy("barcode", "guide").agg(F.count_distinct("umi").alias("umis")).filter(F.col("umis") >= min_umis)
     return ordered.dominance(support, "barcode", "guide", "umis")
 

@@ -68,7 +68,7 @@ def chi2_p_value(statistic: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def table_chi2(cells: DataFrame, keys: Sequence[str], row: str, column: str, count: str) -> DataFrame:
-    """Statistic and degrees of freedom of each key's table; rows of the long form, absent cells are 0."""
+    """D5 (tables as they are; codon_dependency() compresses them), P16: statistic and degrees of freedom of each key's table; rows of the long form, absent cells are 0."""
     k = list(keys)
     rows = cells.groupBy(*k, row).agg(F.sum(count).alias("__r"))
     cols = cells.groupBy(*k, column).agg(F.sum(count).alias("__c"))
@@ -79,6 +79,49 @@ def table_chi2(cells: DataFrame, keys: Sequence[str], row: str, column: str, cou
     return full.groupBy(*k).agg(F.sum((observed - expected) * (observed - expected) / expected).alias("chi2"), ((F.count_distinct(row) - 1) * (F.count_distinct(column) - 1)).cast("int").alias("df"))
 
 
+def compress_tables(cells: DataFrame, keys: Sequence[str], row: str, column: str, count: str) -> DataFrame:
+    """Each key's table with at most two rows and two columns: the two of the smallest sums are added, again and again,
+    and stand last; the first of equal sums, in the order of the labels, is the smaller. Labels are joined by "+".
+    Tables of one row or column stay as they are; a key's table (codons) is small. All cells of a table are given."""
+    k = list(keys)
+    types = dict(cells.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in k), f"`{row}` string, `{column}` string, `{count}` long"])
+
+    def fold(t: pd.DataFrame) -> pd.DataFrame:
+        while len(t) > 2:
+            i = t.sum(axis=1).to_numpy().argmin()
+            one, rest = t.iloc[i], t.drop(index=t.index[i])
+            j = rest.sum(axis=1).to_numpy().argmin()
+            both = (one + rest.iloc[j]).to_frame(f"{t.index[i]}+{rest.index[j]}").T
+            t = pd.concat([rest.drop(index=rest.index[j]), both])
+        return t
+
+    def compress(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        t = group.assign(**{row: group[row].astype(str), column: group[column].astype(str)}).pivot_table(index=row, columns=column, values=count, aggfunc="sum", fill_value=0)
+        if min(t.shape) >= 2:
+            t = fold(fold(t).T).T
+        out = [(*key, r, c, int(t.loc[r, c])) for r in t.index for c in t.columns]
+        return pd.DataFrame(out, columns=[*k, row, column, count])
+
+    return cells.groupBy(*k).applyInPandas(compress, schema)
+
+
+def codon_dependency(cells: DataFrame, keys: Sequence[str], row: str, column: str, count: str) -> DataFrame:
+    """The compressed tables with two rows and columns, two filled cells and min column * min row / total >= 5: the
+    statistic with Yates' correction, p and the BH rate."""
+    k = list(keys)
+    t = compress_tables(cells, k, row, column, count)
+    by = Window.partitionBy(*k)
+    placed = t.withColumns({"__r": F.col(row) == F.min(row).over(by), "__c": F.col(column) == F.min(column).over(by)})
+    a, b, c, d = (F.sum(F.when((F.col("__r") == x) & (F.col("__c") == y), F.col(count)).otherwise(0)) for x, y in ((True, True), (True, False), (False, True), (False, False)))
+    wide = placed.groupBy(*k).agg(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), F.count_distinct(row).alias("__rows"), F.count_distinct(column).alias("__cols"))
+    filled = sum((F.col(x) > 0).cast("int") for x in "abcd")
+    least = F.least(F.expr("a + b"), F.expr("c + d")) * F.least(F.expr("a + c"), F.expr("b + d")) / F.expr("a + b + c + d")
+    kept = wide.filter((F.col("__rows") == 2) & (F.col("__cols") == 2) & (filled >= 2) & (least >= 5))
+    tested = kept.withColumn("chi2", chi2_2x2(*[F.col(x) for x in "abcd"])).withColumn("p", chi2_p_value("chi2", F.lit(1)))
+    return adjust(tested.drop("__rows", "__cols"), "p", "fdr", "BH")
+
+
 def adjust(rows: DataFrame, p: str, name: str, method: str = "BH", by: Sequence[str] = ()) -> DataFrame:
     """False discovery rates (BH, or BY with the harmonic factor) within by.
 

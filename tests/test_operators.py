@@ -48,6 +48,31 @@ def test_umi_clusters_take_the_nearest_head(spark):
     assert got["g", "CGTACG"] == "ACGTACGT" and got["h", "ACGT"] == "GACGTG"
 
 
+def test_recall_and_umi_distances(spark):
+    d = spark.createDataFrame([(16, True, "ACGTACGT", "ACGTACGT", True), (16, False, "ACGTACGA", "ACGTACGT", True), (14, True, "ACGTATTT", "ACGTACGT", False), (None, False, "A" * 20, "A" * 12, False)], "score int, ok boolean, umi string, truth string, trusted boolean")
+    got = {r.score: (r.called, r.correct, r.precision, r.recall) for r in aggregate.accuracy_by_threshold(d, "score", "ok", recall=True).collect()}
+    assert got == {16: (2, 1, 50.0, 25.0), 14: (3, 2, pytest.approx(200 / 3), 50.0)}
+    r = aggregate.umis_within(d, "umi", "truth", "trusted").first()
+    assert (r.within_1, r.within_2, r.within_3, r.trusted_within_1, r.trusted_within_3) == (3, 4, 4, 2, 2)
+
+
+def test_codon_tables_are_compressed_and_gated(spark):
+    cells = [("g", r, c, n) for r, row in {"A": (30, 5, 1), "B": (4, 40, 2), "C": (1, 2, 3)}.items() for c, n in zip("xyz", row)] + [("h", "A", "x", 2), ("h", "B", "y", 2), ("i", "A", "x", 50)]
+    d = spark.createDataFrame(cells, "k string, r string, c string, n long")
+    got = {(x.r, x.c): x.n for x in stats.compress_tables(d, ["k"], "r", "c", "n").filter("k = 'g'").collect()}
+    assert got == {("B", "y"): 40, ("B", "z+x"): 6, ("C+A", "y"): 7, ("C+A", "z+x"): 35}
+    out = stats.codon_dependency(d, ["k"], "r", "c", "n").collect()
+    n, diff = 88, 40 * 35 - 6 * 7
+    want = n * (diff - n / 2) ** 2 / (46 * 42 * 47 * 41)
+    assert [x.k for x in out] == ["g"] and out[0].chi2 == pytest.approx(want) and out[0].fdr == pytest.approx(stats.chi2_p(want))
+
+
+def test_guides_are_rescued_by_sequence(spark):
+    reads = spark.createDataFrame([("b", "g1", "u1", True, None), ("b", "g2", "u2", False, "ACGT"), ("b", "g2", "u3", False, "ACGT"), ("b", "g2", "u4", False, "AAAA"), ("c", "g2", "u1", False, "ACGT"), ("d", "g2", "u1", True, "ACGT")], "barcode string, guide string, umi string, verified boolean, guide_seq string")
+    guides = spark.createDataFrame([("g1", "ACGT"), ("g2", "TTTT")], "guide string, seq string")
+    assert {(r.barcode, r.guide, r.umis) for r in pipelines.guide_calls(reads, guides=guides).collect()} == {("b", "g1", 3), ("c", "g1", 1), ("d", "g2", 1)}
+
+
 def test_ranked_collapse_and_coordinates(spark):
     d = spark.createDataFrame([("g", "AAAA")] * 3 + [("g", "AAAT")] + [("g", "TTTT")], "k string, umi string")
     assert {(r.umi, r.n) for r in ordered.ranked_umi_collapse(d, ["k"], "umi", 2).collect()} == {("AAAA", 3), ("TTTT", 1)}
