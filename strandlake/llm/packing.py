@@ -1,22 +1,26 @@
 """Best-fit packing by a linear grouping scheme.
 
 The plan is made on the histogram of lengths (at most `capacity` numbers): lengths above capacity / LARGE are rounded up
-within groups of equal cardinality (not at all if there are no more lengths than groups), configurations of these few sizes fill sequences one after another, each as often as
-the counts allow; actual lengths take the places of rounded ones, which frees room; then the small lengths go, largest
-first, where they fit best, and open new sequences where none has room.  Where rounding costs more than it finds, best fit
-of all lengths needs fewer sequences, and that plan is taken.  Pieces then find their places by their rank among
-the pieces of their length.  The plan's lines are bounded by the capacity and the groups, not by the documents, as every
-line stands for any number of sequences alike.
+within groups of equal cardinality (not at all if there are no more lengths than groups).  For these few sizes a linear
+programme finds the configurations that need the fewest sequences, each used as often as the programme says, its fractions
+dropped; what they leave goes into the fullest sequences that can be made of it.  Actual lengths take the places of rounded
+ones, which frees room; then the small lengths go, largest first, where they fit best, and open new sequences where none
+has room.  Rounding costs most where it reaches far down, so the plan is made for several limits and the best one taken.
+Pieces then find their places by their rank among the pieces of their length.  The plan's lines are bounded by the capacity
+and the groups, not by the documents, as every line stands for any number of sequences alike.
+
+Ids are those of the vocabulary file's own tokenizer, special strings in a text included.
 
 Defined cases: null text is empty and has the end id alone; longer documents are cut, the last piece keeping the rest;
-equal lengths are ranked by hash, id and piece; repeated rows are packed each; an empty table gives an empty result; extra
-columns are not read by tokenize(), and pass through pack_pieces(), where sequence_id and offset are replaced.
+equal lengths are ranked by the hash of a number that each piece is given; repeated rows are packed each; an empty table gives an empty result; extra columns are not read by tokenize(), and pass
+through pack_pieces(), where sequence_id and offset are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,16 +34,70 @@ from strandlake.llm._runtime import stored
 
 CAPACITY = 4096
 END_ID = 1
-#: Lengths above capacity / LARGE are grouped, in GROUPS groups.
-LARGE, GROUPS = 6, 64
+#: Lengths above capacity / LARGE are grouped, in GROUPS groups; of several such limits the best one is taken.
+LARGE, GROUPS = (6, 4, 3, 2), 64
 #: Pieces for a task when they are ranked.
 PIECES_PER_BUCKET = 50_000
-#: Words whose ids a Python worker remembers.
-MAX_WORDS = 800_000
 Line = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and (length, how many) in each
 
 
-def _configuration(sizes: list[int], left: list[int], first: int, capacity: int) -> list[int]:
+def _best_column(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """The configuration (places of each size) of most worth that fits: exact, by number of items, as few large ones fit."""
+    value, picks = np.zeros(capacity + 1), []
+    best, at = 0.0, (0, capacity)
+    for _ in range(capacity // int(sizes.min())):
+        new, pick = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, dtype=np.int64)
+        for g, (n, y) in enumerate(zip(sizes.tolist(), worth.tolist())):
+            if y > 0:
+                got = value[: capacity + 1 - n] + y
+                better = got > new[n:]
+                new[n:][better], pick[n:][better] = got[better], g
+        value = new
+        picks.append(pick)
+        if value.max() > best:
+            best, at = float(value.max()), (len(picks), int(value.argmax()))
+    out, (items, room) = [0] * len(sizes), at
+    for pick in reversed(picks[:items]):
+        out[pick[room]] += 1
+        room -= int(sizes[pick[room]])
+    return best, out
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 2_000) -> list[tuple[int, list[int]]]:
+    """(how often, places of each size) of few configurations, as many as there are sizes at most, that hold nearly all counts.
+
+    The linear programme of fewest sequences, by the simplex method: configurations come in one by one, each the one of most
+    worth at the current prices, until none is worth more than a sequence.  Parts of a sequence are left out here.
+    """
+    n, c, d = len(sizes), np.array(sizes), np.array(counts, dtype=float)
+    columns = np.diag(capacity // c).astype(float)  # at first each size by itself
+    inverse = np.diag(1.0 / np.diag(columns))
+    for _ in range(rounds):
+        prices = inverse.sum(0)
+        worth, column = _best_column(c, prices, capacity)
+        if worth <= 1 + 1e-7:
+            break
+        step = inverse @ np.array(column, dtype=float)
+        x = inverse @ d
+        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratio.argmin())
+        columns[:, out] = column
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+    x = np.floor(inverse @ d + 1e-6).astype(int)
+    left, used = np.array(counts), []
+    for j in np.argsort(-x, kind="stable"):
+        column = columns[:, j].astype(int)
+        places = column > 0
+        times = int(min(x[j], (left[places] // column[places]).min()))
+        if times > 0:
+            left = left - times * column
+            used.append((times, column.tolist()))
+    return used
+
+
+def _fullest(sizes: list[int], left: list[int], first: int, capacity: int) -> list[int]:
     """Groups of the fullest sequence that starts with group `first`, each at most as often as it is left."""
     room = capacity - sizes[first]
     sums, steps = 1, []  # bit i: groups can fill i of the room; exact, and a matter of capacity bits for each place
@@ -55,10 +113,10 @@ def _configuration(sizes: list[int], left: list[int], first: int, capacity: int)
     return used
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, large: int = LARGE, groups: int = GROUPS) -> list[Line]:
-    """Lines that together hold every length as often as the histogram has it: grouped or plain best fit, whichever needs fewer sequences."""
-    plans = [_plan(histogram, capacity, large, groups), _plan(histogram, capacity, 1, groups)]
-    return min(plans, key=lambda lines: sum(times for times, _ in lines))
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, large: tuple[int, ...] = LARGE, groups: int = GROUPS) -> list[Line]:
+    """Lines that together hold every length as often as the histogram has it; of the limits for large lengths the one that
+    needs the fewest sequences is taken."""
+    return min((_plan(histogram, capacity, x, groups) for x in large), key=lambda lines: sum(times for times, _ in lines))
 
 
 def _plan(histogram: dict[int, int], capacity: int, large: int, groups: int) -> list[Line]:
@@ -80,33 +138,38 @@ def _plan(histogram: dict[int, int], capacity: int, large: int, groups: int) ->
                 count -= take
     sizes, left = [r[0][0] for r in runs], [sum(c for _, c in r) for r in runs]
     lines: list[Line] = []
-    for first in range(len(sizes)):
+
+    def place(use: list[int], times: int) -> None:
+        for g in use:
+            left[g] -= times
+        while times:  # actual lengths for rounded ones, cut where a run ends
+            heads = [runs[g][0] for g in use]  # all places of a group in a sequence take from the same run
+            m = min(times, *(h[1] // use.count(g) for g, h in zip(use, heads)))
+            if m == 0:  # a run with fewer left than places in one sequence: deal that sequence by hand
+                m, heads = 1, []
+                for g in use:
+                    heads.append([runs[g][0][0], 1])
+                    runs[g][0][1] -= 1
+                    if not runs[g][0][1]:
+                        runs[g].pop(0)
+            else:
+                for g in use:
+                    runs[g][0][1] -= m
+                for g in set(use):
+                    if not runs[g][0][1]:
+                        runs[g].pop(0)
+            items: dict[int, int] = {}
+            for h in heads:
+                items[h[0]] = items.get(h[0], 0) + 1
+            lines.append((m, tuple(items.items())))
+            times -= m
+
+    for times, column in configurations(sizes, left, capacity) if sizes else []:
+        place([g for g, k in enumerate(column) for _ in range(k)], times)
+    for first in range(len(sizes)):  # what the programme's parts of sequences leave
         while left[first]:
-            use = _configuration(sizes, left, first, capacity)
-            times = min(left[g] // use.count(g) for g in set(use))
-            for g in use:
-                left[g] -= times
-            while times:  # actual lengths for rounded ones, cut where a run ends
-                heads = [runs[g][0] for g in use]  # all places of a group in a sequence take from the same run
-                m = min(times, *(h[1] // use.count(g) for g, h in zip(use, heads)))
-                if m == 0:  # a run with fewer left than places in one sequence: deal that sequence by hand
-                    m, heads = 1, []
-                    for g in use:
-                        heads.append([runs[g][0][0], 1])
-                        runs[g][0][1] -= 1
-                        if not runs[g][0][1]:
-                            runs[g].pop(0)
-                else:
-                    for g in use:
-                        runs[g][0][1] -= m
-                    for g in set(use):
-                        if not runs[g][0][1]:
-                            runs[g].pop(0)
-                items: dict[int, int] = {}
-                for h in heads:
-                    items[h[0]] = items.get(h[0], 0) + 1
-                lines.append((m, tuple(items.items())))
-                times -= m
+            use = _fullest(sizes, left, first, capacity)
+            place(use, min(left[g] // use.count(g) for g in set(use)))
     # Best fit of the small ones, longest first: by room left, whole lines at a time.
     by_room: dict[int, list[Line]] = {}
     rooms: list[int] = []
@@ -149,103 +212,184 @@ def _plan(histogram: dict[int, int], capacity: int, large: int, groups: int) ->
     return [line for part in by_room.values() for line in part]
 
 
-#: The vocabulary's pre-tokens, with white space as its normalizer knows it, and the bytes that stand for themselves.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
-_OWN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
+#: A normalizer and pre-tokenizers under which the ids of a text are those of its words, one after another.
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Words of these characters need no normalizer but lower case, one character for one: printable ASCII, Latin letters of two bytes.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f]+").fullmatch
+#: What the pattern above finds in them once they are lower-cased.
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017f]+|[0-9]|[^\sa-z0-9\u00df-\u017f]+", re.ASCII).findall
 
 
 def _byte_characters() -> dict[int, str]:
-    """Byte -> character of byte-level vocabularies: the rest are numbered from 256 on; the space stays as our separator."""
-    out = {b: chr(b) for b in _OWN_BYTES}
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + len(out) - len(_OWN_BYTES))
-    return out | {32: " "}
+    """Byte -> the character that stands for it in byte-level vocabularies: printable ones for themselves, the rest are numbered
+    from 256 on; the space stays as our separator."""
+    own = [b for b in range(256) if 33 <= b < 127 or 161 <= b and b != 173]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest)} | {b: chr(b) for b in own} | {32: " "}
 
 
-class _WordIds:
-    """Ids of the words seen, by hash: the vocabulary is asked once for each.
+def wordwise(path: str) -> bool:
+    """Whether the file's tokenizer takes words apart from each other, so that a word's ids do not depend on the text around
+    it: its rules are those of _WORDWISE, it neither cuts nor pads, and its special strings hold no white space."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = all(not t["single_word"] and not t["lstrip"] and not t["rstrip"] and not t["normalized"] and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+    return plain and spec["truncation"] is None and spec["padding"] is None and all(spec[k] == v for k, v in _WORDWISE.items())
 
-    Normalizing and splitting are done here for all new words at once, the merges by the tokenizer's own model; its
-    general path takes four times as long. Pre-tokens never span white space, so a word's ids depend on it alone.
-    """
+
+class _Ids:
+    """Ids of whole texts, as the file's tokenizer gives them, special strings included."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
+
+    def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each document's begin, with the end) of a slice of documents."""
+        raw = data.tobytes()
+        ids, n = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist())])
+        return ids, np.concatenate([[0], np.cumsum(n)])
+
+
+class _WordIds(_Ids):
+    """The same, for files that are wordwise(): the tokenizer is asked once for each word, by 64-bit hash.
+
+    A table of open addresses holds the words seen; when it is half full it is emptied.
+    """
+
+    BITS = 21
+
+    def __init__(self, path: str):
+        super().__init__(path)
         from tokenizers import Tokenizer, pre_tokenizers
 
-        full = Tokenizer.from_file(path)
-        self.tokenizer = Tokenizer(full.model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        vocabulary = full.get_vocab()
+        # For plain words the file's model alone gives the ids, in a third of the time.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a pre-token
         self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.split, self.characters = regex.compile(_PRETOKEN).findall, _byte_characters()
+        self.characters = _byte_characters()
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.clear()
 
-    def clear(self) -> None:
-        self.keys, self.at, self.n, self.ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, how many each word has)."""
-        low = unicodedata.normalize("NFC", " ".join(words)).replace("\u03a3", "\u03c3").lower().split(" ")
+    def words_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of words."""
+        plain = [_PLAIN(w) is not None and not any(x in w for x in self.special) for w in words]
+        low = " ".join(w for w, p in zip(words, plain) if p).lower().split(" ") if any(plain) else []
         parts: list[str] = []
         counts = np.ones(len(low), dtype=np.int64)
         for i, w in enumerate(low):
             if w.isalpha():
                 parts.append(w)
             else:
-                found = self.split(w)
+                found = _PRETOKEN(w)
                 counts[i] = len(found)
                 parts += found
         line = " ".join(parts)
         if not line.isascii():
             line = line.encode().decode("latin-1").translate(self.characters)
-        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids if parts else [], dtype=np.uint32)
-        ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(ends)
-
-    def find(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(first id in self.ids, how many) of each word."""
-        keys, some, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > MAX_WORDS:
-            self.clear()
-        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[place] != keys) if len(self.keys) else np.arange(len(keys))
+        ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids if parts else [], dtype=np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(parts):
+            return self.encode(words)
+        n = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
+        if all(plain):
+            return ids, n
+        plain = np.array(plain)
+        other, m = self.encode([w for w, p in zip(words, plain) if not p])
+        size = np.zeros(len(words), dtype=np.int64)
+        size[plain], size[~plain] = n, m
+        out, mine = np.zeros(int(size.sum()), dtype=np.uint32), np.repeat(plain, size)
+        out[mine], out[~mine] = ids, other
+        return out, size
+
+    def clear(self) -> None:
+        self.keys, self.at, self.n = np.zeros(1 << self.BITS, dtype=np.uint64), np.zeros(1 << self.BITS, dtype=np.uint32), np.zeros(1 << self.BITS, dtype=np.uint32)
+        self.ids, self.used, self.words = np.zeros(1 << 16, dtype=np.uint32), 0, 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, or the empty one where it would go."""
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            there = self.keys[slot[open_]]
+            open_ = open_[(there != keys[open_]) & (there != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.BITS) - 1)
+        return slot
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        flat, n = self.words_of(texts)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        self.words += len(keys)
+        rest = np.arange(len(keys))
+        while len(rest):  # of keys that meet in one empty place the last one gets it, the others look again
+            slot = self._slots(keys[rest])
+            self.keys[slot] = keys[rest]
+            won = self.keys[slot] == keys[rest]
+            self.at[slot[won]], self.n[slot[won]] = at[rest[won]], n[rest[won]]
+            rest = rest[~won]
+
+    def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = tk.words(data, offsets)
+        keys = np.maximum(w.hashes, np.uint64(1))
+        slot = self._slots(keys)
+        new = np.flatnonzero(self.keys[slot] == 0)
         if len(new):
-            raw = w.data.tobytes()
-            flat, n = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[some[new]].tolist(), w.ends[some[new]].tolist())])
-            all_keys = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(all_keys, kind="stable")
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])[order]
-            self.n = np.concatenate([self.n, n])[order]
-            self.keys, self.ids = all_keys[order], np.concatenate([self.ids, flat])
-            place = np.searchsorted(self.keys, keys)
-        return self.at[place][back], self.n[place][back]
+            fresh, first = np.unique(keys[new], return_index=True)
+            if self.words + len(fresh) > 1 << (self.BITS - 1):
+                self.clear()
+                fresh, new = np.unique(keys, return_index=True)
+            else:
+                new = new[first]
+            raw = data.tobytes()
+            for i in range(0, len(fresh), 1 << 16):
+                part = new[i : i + (1 << 16)]
+                self._learn(fresh[i : i + (1 << 16)], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[part].tolist(), w.ends[part].tolist())])
+            slot = self._slots(keys)
+        n = self.n[slot].astype(np.int64)
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[slot] - (ends - n), n) + np.arange(int(n.sum()))] if len(n) else self.ids[:0]
+        return ids, np.concatenate([[0], ends])[w.bounds]
 
 
-_known: dict[str, _WordIds] = {}
+_known: dict[str, _Ids] = {}
 
 
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit numbers, the end id last.
 
-    vocabulary: path of a tokenizers file that takes words apart from each other and drops white space.
+    vocabulary: path of a tokenizers file; ids are those of its encode() without added special tokens.  Under a file that is
+    wordwise() a word's ids are remembered; under any other whole texts are encoded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _known:
-            _known[vocabulary] = _WordIds(vocabulary)
+            _known[vocabulary] = (_WordIds if wordwise(vocabulary) else _Ids)(vocabulary)
         known = _known[vocabulary]
         for b in batches:
             for first, end, data, offsets in tk.slices(b.column(1)):
-                w = tk.words(data, offsets)
-                at, n = known.find(w)
-                ends = np.cumsum(n)
-                flat = known.ids[np.repeat(at - (ends - n), n) + np.arange(int(n.sum()))] if len(n) else known.ids[:0]
-                cuts = np.concatenate([[0], ends])[w.bounds]
+                flat, cuts = known.slice(data, offsets)
                 doc, piece, start, length, ids = [], [], [], [], []
                 for d, (x, y) in enumerate(zip(cuts, cuts[1:])):
                     own = np.append(flat[x:y], np.uint32(end_id)).astype("<u4")
@@ -264,9 +408,12 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length up to capacity, ...) with sequence_id and offset (the place in it).
 
-    pieces is read twice, so it should be a stored table.
+    pieces is read twice: a column __sl_row that names each row, as stored_pieces() has it, keeps ranks the same whichever
+    task is run again; without it pieces is stored once more.  It is not in the result.
     """
     pieces = pieces.drop("sequence_id", "offset")
+    if "__sl_row" not in pieces.columns:
+        pieces = stored(pieces.withColumn("__sl_row", F.monotonically_increasing_id()), "pieces")
     lengths = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     if any(n > capacity or n < 1 for n in lengths):
         raise ValueError("a piece is longer than a sequence, or empty")
@@ -286,13 +433,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     total = sum(lengths.values())
     buckets = 1 << max(4, (total // PIECES_PER_BUCKET).bit_length())
-    dealt = pieces.withColumn("__sl_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = pieces.withColumn("__sl_bucket", F.pmod(F.xxhash64("__sl_row"), F.lit(buckets)))
     counts = dealt.groupBy("length", "__sl_bucket").agg(F.count("*").alias("__sl_n"))
     before = F.coalesce(F.sum("__sl_n").over(Window.partitionBy("length").orderBy("__sl_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = Window.partitionBy("length", "__sl_bucket").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "__sl_bucket").orderBy("__sl_row")
     ranked = dealt.withColumn("__sl_rank", F.row_number().over(inside) - 1).join(counts.select("length", "__sl_bucket", before.alias("__sl_before")), ["length", "__sl_bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("__sl_before") + F.col("__sl_rank")).cast("long").alias("__sl_rank"))
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c != "__sl_row"]
+    ranked = ranked.select(*columns, (F.col("__sl_before") + F.col("__sl_rank")).cast("long").alias("__sl_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, plan = sent.value
@@ -302,10 +449,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             i = rank - at[:, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(at[:, 3] + i // at[:, 2] if len(n) else n), pa.array(at[:, 4] + i % at[:, 2] * n if len(n) else n)], [*columns, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*columns).schema)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def stored_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """tokenize(), written to the shared folder: the texts are tokenized once."""
-    return stored(tokenize(docs, vocabulary, capacity, end_id), "pieces")
+    """tokenize(), written to the shared folder: the texts are tokenized once, and each piece has a name, __sl_row."""
+    return stored(tokenize(docs, vocabulary, capacity, end_id).withColumn("__sl_row", F.monotonically_increasing_id()), "pieces")

@@ -84,9 +84,9 @@ from counted group by conv_id
 
 def op7_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")
-    manifest = warc.write_archive(pages)
+    archive = warc.write_archive(pages)
     keys = pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key"))
-    return warc.lookup(keys, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.lookup(keys, archive, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base 32 of a SHA-1: each five hexadecimal digits are four letters.
@@ -107,7 +107,7 @@ def _spans(findings: Column) -> Column:
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.stored_pieces(_table(spark, sf_dir, "documents"), vocabulary())
-    digested = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    digested = pieces.select("__sl_row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack_pieces(digested)
 
 
