@@ -4,13 +4,18 @@ Sets that are equal become one node first.  Two sets that link must share a shin
 common order (the prefix rule), so only those prefixes are exchanged, the rarest shingles first: the order comes from a
 fixed-size table of hashed counts.  A shingle's list is cut into tiles by size band, since linked sets differ in size by a
 quarter at most.  A first round pairs each tile's members with the tile's leaders; a second pairs, in lists that still
-span several components, the members of different components.  Every pair is bounded from above by its parity bitmaps
-(the bits that differ are shingles that differ) before the sorted arrays are intersected exactly.  Skipped are only pairs
-that a verified chain of links joins already, so no component is lost, and near copies cost a star, not all pairs.
+span several components, the members of different components whose hashed signatures of 256 bits allow a link.  Every pair
+is then bounded from above by its parity bitmaps (the bits that differ are shingles that differ) before the sorted arrays are
+intersected exactly.  Skipped are only pairs that a verified chain of links joins already, so no component is lost, and
+near copies cost a star, not all pairs.
+
+A set is named by 64 bits of its shingles' hashes; where two sets share a name, 64 more tell them apart.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; a text of fewer words than a shingle is
 one shingle; equal sets always link; repeated rows and ids are nodes' members one by one; an empty table gives an empty
-result; extra columns are not read.
+result; extra columns are not read by jaccard_components() and pass through one_per_component(), which keeps the row with the
+smallest doc_id (no id comes last, equal ids go by a hash of the text) of each component, one of rows that repeat it, and
+every row without words.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import _tokens as tk
-from strandlake.llm._runtime import rows_of_ids, semi_rows, stored
+from strandlake.llm._runtime import dropped, lookup_rows, row_key, rows_of_ids, semi_rows, split_by_ids, stored
 
 PERCENT = 80
 WORDS = 5
@@ -33,6 +38,8 @@ WORDS = 5
 SKETCH_BITS, SKETCH_SLICES = 22, 16
 #: Entries for a task, and members of a list that a tile takes; longer lists are cut into pairs of blocks.
 ENTRIES_PER_BUCKET, LIST_BLOCK = 400_000, 30_000
+#: Entries for a task of the second round.
+REST_PER_BUCKET = 100_000
 LEADERS = 3
 #: Sets that a task remembers, so that repeated ones are counted and sent once.
 MAX_SEEN = 200_000
@@ -51,14 +58,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[
     return out
 
 
-def _node(s: np.ndarray) -> int:
-    """A 64-bit name of a set (0: empty), from the sum and xor of its mixed hashes and its size."""
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set (0: empty), from the sum and xor of its mixed hashes and its size."""
     if not len(s):
-        return 0
+        return 0, 0
     m = tk.mix(s + np.uint64(0x632BE59BD9B4E019))
     total = m.sum(dtype=np.uint64, keepdims=True) * np.uint64(len(s) * 2 + 1)
-    h = tk.mix(total ^ np.bitwise_xor.reduce(m * np.uint64(0x2545F4914F6CDD1D), keepdims=True))
-    return int(h[0].view(np.int64)) or 1
+    xor = np.bitwise_xor.reduce(m * np.uint64(0x2545F4914F6CDD1D), keepdims=True)
+    h = tk.mix(np.concatenate([total ^ xor, total * np.uint64(0xD6E8FEB86659FD93) + xor])).view(np.int64)
+    return int(h[0]) or 1, int(h[1])
+
+
+def _node(s: np.ndarray, renamed: dict[tuple[int, int], int]) -> int:
+    """The set's name: the first one, unless that stands for another set."""
+    names = _names(s)
+    return renamed.get(names, names[0]) if renamed else names[0]
 
 
 def prefix_length(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -87,8 +101,17 @@ def overlap_bound(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
     return (size_a + size_b - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of 256 bits, as four numbers."""
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_DESCRIBED = "kind int, doc_id long, k1 long, k2 long, n long, node long, other long, s0 long, s1 long, s2 long, s3 long, blob binary"
+
+
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: (doc_id, n, node) of each row; kind 1: slices of the counts of hashed shingles."""
+    """kind 0: both names, size and signature of each row's set; kind 1: slices of the counts of hashed shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -106,8 +129,8 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for first, end, data, offsets in tk.slices(b.column(1)):
                 sets = shingle_sets(data, offsets, k)
-                nodes = [_node(s) for s in sets]
-                new = [s for s, x in zip(sets, nodes) if x not in seen and not seen.add(x)]
+                names = np.array([_names(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+                new = [s for s, x in zip(sets, names[:, 0].tolist()) if x not in seen and not seen.add(x)]
                 if len(seen) > MAX_SEEN:
                     seen.clear()
                 if new:
@@ -116,13 +139,19 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                     if size > 2_000_000:
                         count()
                 n = end - first
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(n, dtype=np.int32)), "doc_id": b.column(0).slice(first, n).cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()), "blob": pa.array([None] * n, pa.binary())})
+                part = b.slice(first, n)
+                signs = np.array([signature(s) for s in sets], dtype=np.int64).reshape(-1, 4)
+                out = {"kind": pa.array(np.zeros(n, dtype=np.int32)), "doc_id": part.column(0).cast(pa.int64()), "k1": part.column(2), "k2": part.column(3), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(names[:, 0]), "other": pa.array(names[:, 1])}
+                yield pa.RecordBatch.from_pydict(out | {f"s{j}": pa.array(signs[:, j]) for j in range(4)} | {"blob": pa.nulls(n, pa.binary())})
         count()
         if cells.any():
-            parts = np.minimum(cells, 65535).astype(np.uint16).reshape(SKETCH_SLICES, -1)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(SKETCH_SLICES, dtype=np.int32)), "doc_id": pa.array(range(SKETCH_SLICES), pa.int64()), "n": pa.array([0] * SKETCH_SLICES, pa.int64()), "node": pa.array([0] * SKETCH_SLICES, pa.int64()), "blob": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
+            parts = cells.reshape(SKETCH_SLICES, -1)
+            zero = pa.array(np.zeros(SKETCH_SLICES, dtype=np.int64))
+            out = {f: zero for f in ("k1", "k2", "n", "node", "other", "s0", "s1", "s2", "s3")}
+            out |= {"kind": pa.array(np.ones(SKETCH_SLICES, dtype=np.int32)), "doc_id": pa.array(range(SKETCH_SLICES), pa.int64()), "blob": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())}
+            yield pa.RecordBatch.from_pydict({f.split()[0]: out[f.split()[0]] for f in _DESCRIBED.split(", ")})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, node long, blob binary")
+    return docs.select("doc_id", "text", *(c.alias(f"k{i}") for i, c in enumerate(row_key("doc_id", "text"), 1))).mapInArrow(run, _DESCRIBED)
 
 
 def levels(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +174,7 @@ def _sketch(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICES, dtype=np.int64)
         for b in batches:
             for blob in b.column("blob"):
-                total += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint16)
+                total += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint32)
         order, halvings = levels(total)
         yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int64()), "order": pa.array([order.tobytes()], pa.binary()), "halvings": pa.array([halvings.tobytes()], pa.binary())})
 
@@ -160,7 +189,7 @@ def _sketch(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
-def _entries(docs: DataFrame, sketch: tuple[np.ndarray, np.ndarray], buckets: int, k: int, percent: int) -> DataFrame:
+def _entries(docs: DataFrame, sketch: tuple[np.ndarray, np.ndarray], buckets: int, k: int, percent: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """(bucket, blob): prefix entries of each distinct set, dealt by shingle."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -186,7 +215,7 @@ def _entries(docs: DataFrame, sketch: tuple[np.ndarray, np.ndarray], buckets: in
         for b in batches:
             for _, _, data, offsets in tk.slices(b.column(0)):
                 for s in shingle_sets(data, offsets, k):
-                    if not len(s) or (node := _node(s)) in seen:
+                    if not len(s) or (node := _node(s, renamed)) in seen:
                         continue
                     if len(seen) > MAX_SEEN:
                         seen.clear()
@@ -285,12 +314,13 @@ def _first_round(entries: DataFrame, percent: int) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(run, "kind int, h long, a long, b long, size_a long, size_b long")
 
 
-def _second_round(rest: DataFrame, labels: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Pairs of members of different components, in lists (h, node, size, pos) that span several."""
-    rows = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+def _second_round(rest: DataFrame, nodes: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Pairs of members of different components, in lists (h, node, size, pos) that span several, whose signatures allow a
+    link. nodes: node, label and signature."""
+    rows = rest.join(nodes, "node").withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, marks = [], []
+        parts, marks, signs = [], [], []
         for b in batches:
             e = np.empty(b.num_rows, dtype=_ENTRY)
             e["h"] = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -298,15 +328,24 @@ def _second_round(rest: DataFrame, labels: DataFrame, buckets: int, percent: int
                 e[c] = b.column(c).to_numpy(zero_copy_only=False)
             parts.append(e)
             marks.append(b.column("label").to_numpy(zero_copy_only=False))
-        e, label = np.concatenate(parts), np.concatenate(marks)
+            signs.append(np.column_stack([b.column(f"s{j}").to_numpy(zero_copy_only=False) for j in range(4)]).view(np.uint64))
+        e, label, sign = np.concatenate(parts), np.concatenate(marks), np.concatenate(signs)
         order = np.lexsort((e["size"], e["h"]))
-        e, label = e[order], label[order]
+        e, label, sign = e[order], label[order], sign[order]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]])), len(e))
-        found, waiting = [np.zeros((0, 4), dtype=np.int64)], 0
+        found, waiting = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if found:
+                p = np.unique(np.concatenate(found), axis=0)
+                found.clear()
+                for x in range(0, len(p), 100_000):
+                    yield pa.RecordBatch.from_pydict({c: pa.array(p[x : x + 100_000, j].astype(np.int64)) for j, c in enumerate(("a", "b", "size_a", "size_b"))})
+
         for a, z in zip(cuts, cuts[1:]):
             if (label[a:z] == label[a]).all():
                 continue
-            for x in range(a, z, 256):  # by blocks: a list's matrix of pairs is never whole
+            for x in range(a, z, 256):  # by blocks: neither a list's matrix of pairs nor its pairs are ever whole
                 for y in range(x, z, 4096):
                     i, j = np.arange(x, min(x + 256, z))[:, None], np.arange(y, min(y + 4096, z))[None, :]
                     if 100 * int(e["size"][x : x + 256][: z - x].max()) < percent * int(e["size"][y]):
@@ -314,13 +353,16 @@ def _second_round(rest: DataFrame, labels: DataFrame, buckets: int, percent: int
                     at = np.nonzero((i < j) & (label[i] != label[j]))
                     i, j = i[at[0], 0], j[0, at[1]]
                     near = _near(e, i, j, percent)
-                    found.append(_pairs(e, i[near], j[near]))
+                    i, j = i[near], j[near]
+                    sizes = e["size"][i].astype(np.int64), e["size"][j].astype(np.int64)
+                    apart = np.bitwise_count(sign[i] ^ sign[j]).sum(1, dtype=np.int64)
+                    allowed = (sizes[0] + sizes[1] - apart) // 2 >= needed(*sizes, percent)
+                    found.append(_pairs(e, i[allowed], j[allowed]))
                     waiting += len(found[-1])
-            if waiting > 1_000_000:
-                found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
-        p = np.unique(np.concatenate(found), axis=0)
-        for x in range(0, len(p), 100_000):
-            yield pa.RecordBatch.from_pydict({c: pa.array(p[x : x + 100_000, j].astype(np.int64)) for j, c in enumerate(("a", "b", "size_a", "size_b"))})
+                    if waiting > 1_000_000:
+                        yield from flush()
+                        waiting = 0
+        yield from flush()
 
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long, size_a long, size_b long").dropDuplicates(["a", "b"])
 
@@ -397,7 +439,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        edges = stored(small, "components")
+        edges, old = stored(small, "components"), edges
+        dropped(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
@@ -405,25 +448,47 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node (the set's name, null if empty) and component_id (smallest doc_id linked, itself included)."""
+def _renamed(members: DataFrame, nodes: DataFrame) -> dict[tuple[int, int], int]:
+    """Of sets that share their first name with another set, all but one go by their second; next to none, at any size (of
+    10^10 different sets about three)."""
+    shared = nodes.filter("low != high").select("node")
+    if not shared.limit(1).count():
+        return {}
+    found = members.join(F.broadcast(shared), "node").select("node", "other").distinct().collect()
+    least: dict[int, int] = {}
+    for r in found:
+        least[r.node] = min(least.get(r.node, r.other), r.other)
+    return {(r.node, r.other): r.other for r in found if r.other != least[r.node]}
+
+
+def _nodes(members: DataFrame) -> DataFrame:
+    """Distinct sets: node, smallest doc_id, signature, and the extremes of the second name."""
+    return stored(members.filter("node != 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("low"), F.max("other").alias("high"), *[F.max(f"s{j}").alias(f"s{j}") for j in range(4)]), "jaccard-nodes")
+
+
+def _labelled(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """doc_id, k1, k2, n_shingles, node, label (of the component), component_id of every row; the last three null without words."""
     docs = docs.select("doc_id", "text")
     described = stored(_describe(docs, k), "jaccard-sets")
-    members = described.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node") != 0, F.col("node")).alias("node"))
-    total = members.agg(F.sum(F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1)).first()[0] or 0
+    members = described.filter("kind = 0").drop("kind", "blob")
+    nodes = _nodes(members)
+    if renamed := _renamed(members, nodes):
+        names = docs.sparkSession.createDataFrame([(*names, new) for names, new in renamed.items()], "node long, other long, new long")
+        members = members.join(F.broadcast(names), ["node", "other"], "left").withColumn("node", F.coalesce("new", "node")).drop("new")
+        nodes = _nodes(members)
+    total = members.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     buckets = max(12, int(-(-total // ENTRIES_PER_BUCKET)))
-    first = stored(_first_round(_entries(docs, _sketch(described), buckets, k, percent), percent), "jaccard-lists")
+    first = stored(_first_round(_entries(docs, _sketch(described), buckets, k, percent, renamed), percent), "jaccard-lists")
     pairs = first.filter("kind = 0").select("a", "b", "size_a", "size_b").dropDuplicates(["a", "b"])
     rest = first.filter("kind = 1").select("h", F.col("a").alias("node"), F.col("size_a").cast("int").alias("size"), F.col("size_b").cast("int").alias("pos"))
-    reps = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rest.select("node")).distinct()
-    wanted = stored(reps.join(involved, "node", "left_semi"), "jaccard-involved")
+    wanted = stored(nodes.select("node", "doc_id").join(involved, "node", "left_semi"), "jaccard-involved")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in tk.slices(b.column(0)):
                 sets = shingle_sets(data, offsets, k)
-                nodes = pa.array([_node(s) for s in sets], pa.int64())
+                nodes = pa.array([_node(s, renamed) for s in sets], pa.int64())
                 out = pa.RecordBatch.from_pydict({"node": nodes, "map": pa.array([bitmap(s) for s in sets], pa.binary()), "text": b.column(0).slice(first, end - first)})
                 yield out.filter(pc.equal(nodes, b.column(1).slice(first, end - first))) if b.num_columns > 1 else out
 
@@ -439,12 +504,38 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS)
     labels = components(links)
     n_rest = rest.count()
     if n_rest:
-        more = _second_round(rest, labels, max(1, n_rest // ENTRIES_PER_BUCKET), percent)
-        extra = stored(_verify(stored(more, "jaccard-pairs"), known, k, percent), "jaccard-links")
+        placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "label", *(f"s{j}" for j in range(4)))
+        more = stored(_second_round(rest, placed, max(1, n_rest // REST_PER_BUCKET), percent), "jaccard-pairs")
+        dropped(first)
+        extra = stored(_verify(more, known, k, percent), "jaccard-links")
         if extra.limit(1).count():
             labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).filter("u != v").unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    joined = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    dropped(known)
+    joined = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = joined.join(smallest, "label").select("node", "component_id")
-    out = members.filter("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "node", "component_id")
-    return out.unionByName(members.filter("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")))
+    of_node = joined.join(smallest, "label").select("node", "label", "component_id")
+    return members.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("node") != 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, node (the set's name, null if empty) and component_id (smallest doc_id linked, itself included)."""
+    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return _labelled(docs, percent, k).select("doc_id", "n_shingles", "node", alone.alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
+    """docs with one row of each component, see above for which; rows are dropped, not ids."""
+    rows = stored(_labelled(docs, percent, k).filter("node is not null").select("doc_id", "k1", "k2", "label"), "jaccard-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2")).alias("best")
+    kept = rows.groupBy("label").agg(best, F.count("*").alias("n")).filter("n > 1").select("label", F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"))
+    judged = lookup_rows(rows.select("k1", "k2", "label"), kept, "label").filter("b1 is not null")
+    judged = judged.groupBy("k1", "k2").agg(F.bool_or((F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))).alias("stays"), F.count("*").alias("n"))
+    marks = stored(judged.filter("not stays or n > 1").select("k1", "k2", "stays"), "jaccard-marks")
+    key = row_key("doc_id", "text")
+    named = docs.withColumns({"__sl_k1": key[0], "__sl_k2": key[1]})
+    marks = marks.withColumnsRenamed({"k1": "__sl_k1", "k2": "__sl_k2", "stays": "__sl_stays"})
+    maybe, clean = split_by_ids(named, marks, "__sl_k1", "__sl_k2")
+    seen = lookup_rows(maybe, marks, "__sl_k1", "__sl_k2")
+    whole = F.struct(*docs.columns)
+    one = seen.filter("__sl_stays").groupBy("__sl_k1", "__sl_k2").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("r")).select("r.*")  # rows that repeat the one that stays
+    return clean.select(*docs.columns).unionByName(seen.filter("__sl_stays is null").select(*docs.columns)).unionByName(one)
