@@ -1,11 +1,12 @@
 """Secret scans: candidates by pattern, judged by a character convolutional network in numpy.
 
 Candidates are the matches of three patterns (always reported) and every run of 16 and more key characters with both
-digits and letters; the network sees each with its surroundings, a long one through windows slid over it, of which the highest score
-counts.  It is trained on labelled findings that are made by rule
-from a seed: keys in the forms that services issue against the identifiers, hashes in commit lines, dates, paths and
-placeholders that look like them.  Its scores are calibrated (Platt) on a held-out part, and the threshold is the highest
-that keeps the wanted recall there.
+digits and letters; the network sees each with its surroundings on both sides, a long one through windows slid over the whole
+of it, of which the highest score counts.  It is trained on labelled findings that are made by rule from a seed: keys in the
+forms that services issue, hashes, UUIDs, identifiers, dates, paths and placeholders, each after words that speak of secrets
+and after others alike.  Neither the form nor the words settle the label; each pair of them has its own share of secrets, so
+scores between 0 and 1 mean something.  They are calibrated (Platt) on a held-out part, and the threshold is the highest that
+keeps the wanted recall there.
 
 Defined cases: null text is empty; a candidate inside another finding is not reported again, of one that goes beyond it the
 rest, or the longer word that holds the finding, is judged; equal starts are in the order of
@@ -15,9 +16,10 @@ KINDS; repeated rows are scanned alike; an empty table gives an empty result; ex
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +42,19 @@ _LETTER = tk.table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 BEFORE, WINDOW, STEP = 24, 72, 24
 #: Characters after the candidate's end that the last window of a long one holds.
 AFTER = 8
-_SYLLABLES = ["an", "der", "ing", "tion", "er", "on", "the", "que", "ent", "lich", "ou", "ar", "ung", "ver", "es", "ist", "re", "al"]
-_ALPHABET = 100
+_SYLLABLES = ["an", "der", "ing", "tion", "er", "on", "the", "que", "ent", "lich", "ou", "ar", "ung", "ver", "es", "ist", "re", "al", "srv", "dep", "loy", "ment", "pro", "duc", "cur", "cen", "tral", "lea", "ses", "in", "dex", "page", "note", "us", "data", "con", "fig", "main", "src", "lib", "test", "img", "js", "api", "log", "ser", "vice", "north", "west", "eu", "man", "age", "ple", "mo", "del", "tra", "back", "up", "st", "ore", "net", "work", "ti", "me", "ou", "eau", "sch", "ei", "gen", "cor", "ro", "la", "os", "ad", "mi", "ni"]
+_ALPHABET = 200
 
 
-def _codes(text: str, start: int) -> np.ndarray:
-    """Window around a candidate: printable ASCII as it is, 0 outside, 98 and 99 for control and other characters."""
+def _codes(text: str, place: int, start: int, end: int) -> np.ndarray:
+    """Window from BEFORE characters before a place on: printable ASCII as it is, 0 outside the text, 98 and 99 for control and
+    other characters; 100 more within the candidate [start, end)."""
     out = np.zeros(WINDOW, dtype=np.int64)
-    first = max(0, start - BEFORE)
-    part = text[first : start - BEFORE + WINDOW]
-    got = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    out[first - (start - BEFORE) :][: len(got)] = np.where(got < 32, 98, np.where(got < 127, got - 31, 99))
+    low = place - BEFORE
+    first = max(0, low)
+    got = np.frombuffer(text[first : low + WINDOW].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    out[first - low :][: len(got)] = np.where(got < 32, 98, np.where(got < 127, got - 31, 99))
+    out[max(0, start - low) : max(0, min(WINDOW, end - low))] += 100
     return out
 
 
@@ -89,13 +93,13 @@ class CharNet:
         """Of each (text, start, end) the highest calibrated probability of its windows."""
         n = np.array([len(_places(a, b)) for _, a, b in found], dtype=np.int64)
         out = np.zeros(len(found))
-        at = ((i, t, s) for i, (t, a, b) in enumerate(found) for s in _places(a, b))
+        at = ((i, t, s, a, b) for i, (t, a, b) in enumerate(found) for s in _places(a, b))
         for _ in range(0, int(n.sum()), 4096):
             part = list(islice(at, 4096))
-            np.maximum.at(out, [i for i, _, _ in part], self.score(np.stack([_codes(t, s) for _, t, s in part])))
+            np.maximum.at(out, [p[0] for p in part], self.score(np.stack([_codes(*p[1:]) for p in part])))
         return out
 
-    def train(self, x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 10, batch: int = 64, rate: float = 0.01) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 6, batch: int = 64, rate: float = 0.005, decay: float = 0.02) -> None:
         r = np.random.default_rng(seed)
         m, v, t = {k: 0 * p for k, p in self.p.items()}, {k: 0 * p for k, p in self.p.items()}, 0
         for _ in range(epochs):
@@ -123,34 +127,50 @@ class CharNet:
                 for k in self.p:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) - rate * decay * self.p[k]
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, found: list[tuple[str, int, int]] | None = None) -> None:
-        """Platt scaling by Newton steps, then the highest threshold with the wanted recall of x, or of the secrets in found."""
-        z = self.raw(x)
-        a, b = 1.0, 0.0
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -35, 35)))
-            w = p * (1 - p) + 1e-6
-            grad = np.array([(z * (p - y)).sum() + 1e-2 * (a - 1), (p - y).sum()])
-            hess = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum()]])
-            a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
-        self.scale, self.shift = float(a), float(b)
+        """Platt scaling by Newton steps, each halved until it helps, with targets drawn in from 0 and 1 as he has them; then the
+        highest threshold with the wanted recall of x, or of the secrets in found."""
+        z, n = self.raw(x), float(y.sum())
+        centre, spread = z.mean(), z.std() + 1e-9
+        u = (z - centre) / spread
+        target = np.where(y == 1, (n + 1) / (n + 2), 1 / (len(y) - n + 2))
+
+        def loss(w: np.ndarray) -> float:
+            t = w[0] * u + w[1]
+            return float((np.logaddexp(0, t) - target * t).sum())
+
+        w = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(w[0] * u + w[1], -35, 35)))
+            v = p * (1 - p) + 1e-9
+            step = np.linalg.solve(np.array([[(v * u * u).sum(), (v * u).sum()], [(v * u).sum(), v.sum()]]), np.array([(u * (p - target)).sum(), (p - target).sum()]))
+            size = 1.0
+            while size > 1e-6 and loss(w - size * step) > loss(w):
+                size /= 2
+            w = w - size * step
+        self.scale, self.shift = float(w[0] / spread), float(w[1] - w[0] * centre / spread)
         scores = np.sort(self.score(x)[y == 1] if found is None else self.judge(found))
         self.threshold = float(scores[int(np.floor((1 - recall) * len(scores)))])
 
 
-def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int]], np.ndarray]:
-    """n (text, candidate start) and whether each is a secret; made by rule."""
+#: Words before a finding that speak of secrets, and others.
+_OF_SECRETS = ["key ", "Authorization: Bearer ", "export AWS_ID=", "credentials ", "login with ", "api_key = \"", "secret='", "private key: ", "passphrase ", "auth "]
+_OF_OTHERS = ["see ", "", "version ", "file ", "at ", "id ", "http://www.", "page ", "from ", "on ", "commit ", "sha256:", "uuid ", "build ", "checksum ", "etag "]
+
+
+def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """n (text, candidate start and end) and whether each is a secret; made by rule, the label drawn with the share of secrets
+    among the findings of that form after words of that sort."""
     r = np.random.default_rng(seed)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    syllables = _SYLLABLES
 
     def chars(alphabet: str, k: int) -> str:
         return "".join(alphabet[i] for i in r.integers(0, len(alphabet), k))
 
     def word() -> str:
-        return "".join(syllables[i] for i in r.integers(0, len(syllables), r.integers(1, 4)))
+        return "".join(_SYLLABLES[i] for i in r.integers(0, len(_SYLLABLES), r.integers(1, 4)))
 
     def prose(k: int) -> str:
         return " ".join(word() for _ in range(k))
@@ -158,39 +178,44 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int]], np.ndar
     def number(a: int, b: int) -> int:
         return int(r.integers(a, b))
 
-    positive = [
-        lambda: "AKIA" + chars(up + digits, 16),
-        lambda: chars("0123456789abcdef", [24, 32, 40, 64][number(0, 4)]),
-        lambda: chars(low + up + digits, number(20, 48)),
-        lambda: chars(low + up + digits + "+/", 40),
-        lambda: ["sk_live_", "ghp_", "xoxb-", "glpat-", "pk_test_"][number(0, 5)] + chars(low + up + digits, number(20, 36)),
-        lambda: "eyJ" + chars(low + up + digits + "_-", number(40, 80)),
-        lambda: chars(low + digits, number(20, 40)),
-        lambda: chars(up + digits, number(20, 40)),
-    ]
-    negative = [
-        lambda: word() + word() + "-" + word() + "-" + word() + str(number(1, 3000)),
-        lambda: f"20{number(10, 30)}-{number(10, 13)}-{number(10, 29)}T{number(10, 24)}-{number(10, 60)}-00Z",
-        lambda: "/" + word() + "/" + word() + "/" + word() + word() + "/" + str(number(1, 99999)),
-        lambda: word().capitalize() + word().capitalize() + word().capitalize() + word().capitalize() + str(number(0, 10)),
-        lambda: "_".join(word() for _ in range(number(4, 7))) + "_" + str(number(0, 100)),
-        lambda: chars(digits, 4) + "-" + chars(digits, 4) + "-" + chars(digits, 4) + "-" + chars(digits, 4) + "-de",
-        lambda: "x" * number(12, 30) + "1234",
-        lambda: "your_" + word() + "_key_here_" + chars("123", number(1, 4)) + "_example",
-        lambda: "=" * number(14, 30) + word() + str(number(1, 10)),
-        lambda: "v" + str(number(1, 20)) + "-release-" + word() + "-build-" + str(number(100, 999)),
-        lambda: "+49-" + chars(digits, 3) + "-" + chars(digits, 4) + "-" + chars(digits, 4) + "-ext-" + chars(digits, 2),
+    def uuid4() -> str:
+        return "-".join(chars("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+
+    # (how to make one, share of secrets after other words, after words of secrets)
+    forms = [
+        (lambda: "AKIA" + chars(up + digits, 16), 0.97, 0.99),
+        (lambda: ["sk_live_", "ghp_", "xoxb-", "glpat-", "pk_test_"][number(0, 5)] + chars(low + up + digits, number(20, 36)), 0.97, 0.99),
+        (lambda: "eyJ" + chars(low + up + digits + "_-", number(40, 80)), 0.95, 0.99),
+        (lambda: chars(low + up + digits, number(20, 48)), 0.9, 0.98),
+        (lambda: chars(low + up + digits + "+/", 40), 0.9, 0.98),
+        (lambda: chars(low + digits, number(20, 40)), 0.8, 0.97),
+        (lambda: chars(up + digits, number(20, 40)), 0.7, 0.95),
+        (lambda: chars("0123456789abcdef", [24, 32, 40, 64][number(0, 4)]), 0.1, 0.85),
+        (lambda: chars("0123456789ABCDEF", [24, 32, 40, 64][number(0, 4)]), 0.1, 0.85),
+        (uuid4, 0.01, 0.3),
+        (lambda: uuid4().upper(), 0.01, 0.3),
+        (lambda: word() + word() + "-" + word() + "-" + word() + str(number(1, 3000)), 0.0, 0.02),
+        (lambda: f"20{number(10, 30)}-{number(10, 13)}-{number(10, 29)}T{number(10, 24)}-{number(10, 60)}-00Z", 0.0, 0.0),
+        (lambda: "/" + word() + "/" + word() + "/" + word() + word() + "/" + str(number(1, 99999)), 0.0, 0.02),
+        (lambda: word().capitalize() + word().capitalize() + word().capitalize() + word().capitalize() + str(number(0, 10)), 0.0, 0.02),
+        (lambda: "_".join(word() for _ in range(number(4, 7))) + "_" + str(number(0, 100)), 0.0, 0.02),
+        (lambda: chars(digits, 4) + "-" + chars(digits, 4) + "-" + chars(digits, 4) + "-" + chars(digits, 4) + "-de", 0.0, 0.05),
+        (lambda: "x" * number(12, 30) + "1234", 0.0, 0.0),
+        (lambda: "your_" + word() + "_key_here_" + chars("123", number(1, 4)) + "_example", 0.0, 0.0),
+        (lambda: "=" * number(14, 30) + word() + str(number(1, 10)), 0.0, 0.0),
+        (lambda: "v" + str(number(1, 20)) + "-release-" + word() + "-build-" + str(number(100, 999)), 0.0, 0.0),
+        (lambda: "+49-" + chars(digits, 3) + "-" + chars(digits, 4) + "-" + chars(digits, 4) + "-ext-" + chars(digits, 2), 0.0, 0.0),
+        (lambda: "INV-" + chars(digits, 4) + "-" + chars(digits, 8) + "-" + chars(up, 2), 0.0, 0.03),
     ]
-    before_secret = ["password=", "token: ", "api_key = \"", "secret='", "key ", "Authorization: Bearer ", "export AWS_ID=", "credentials ", "", "login with "]
-    before_other = ["see ", "", "version ", "file ", "at ", "id ", "http://www.", "page ", "from ", "on "]
     out, y = [], np.zeros(n)
     for i in range(n):
-        y[i] = i % 2
-        kinds, marks = (positive, before_secret) if i % 2 else (negative, before_other)
-        mark = marks[number(0, len(marks))] if number(0, 3) else ""
-        head = prose(number(0, 8)) + (" " if number(0, 5) else "\n") + mark
-        item = kinds[number(0, len(kinds))]()
-        out.append((head + item + ["", " ", "\n", "\" ", ". "][number(0, 5)] + prose(number(0, 6)), len(head)))
+        make, *shares = forms[number(0, len(forms))]
+        of_secrets = number(0, 2)
+        marks = _OF_SECRETS if of_secrets else _OF_OTHERS
+        head = prose(number(0, 8)) + (" " if number(0, 5) else "\n") + marks[number(0, len(marks))]
+        item = make()
+        y[i] = r.random() < shares[of_secrets]
+        out.append((head + item + ["", " ", "\n", "\" ", ". "][number(0, 5)] + prose(number(0, 6)), len(head), len(head) + len(item)))
     return out, y
 
 
@@ -212,39 +237,40 @@ def labelled_runs(n: int, seed: int) -> tuple[list[tuple[str, int, int, int, int
 
     found, y = labelled_findings(n, seed + 1)
     out = []
-    for text, start in found:
-        item = _KEY_RUN.match(text, start)[0]
+    for text, start, end in found:
+        item = text[start:end]
         mark = "/_=-"[r.integers(0, 4)]
         head = chain(int(r.integers(10, 120)), mark) + mark
         tail = chain(int(r.integers(5, 80)), mark) if r.integers(0, 3) == 0 else ""
         a, b = start + len(head), start + len(head) + len(item)
-        out.append((text[:start] + head + item + tail + text[start + len(item) :], start, b + len(tail), a, b))
+        out.append((text[:start] + head + item + tail + text[end:], start, b + len(tail), a, b))
     return out, y
 
 
-def _run_windows(runs: list[tuple[str, int, int, int, int]], y: np.ndarray) -> tuple[list[tuple[str, int]], np.ndarray]:
-    """(text, place) of the windows over long candidates, and whether the secret is seen; those that see a part are left out."""
+def _run_windows(runs: list[tuple[str, int, int, int, int]], y: np.ndarray) -> tuple[list[tuple[str, int, int, int]], np.ndarray]:
+    """(text, place, start, end) of the windows over long candidates, and whether the secret is seen; those that see a part are
+    left out."""
     out, labels = [], []
     for (text, start, end, a, b), secret in zip(runs, y):
         for s in _places(start, end):
             seen = min(b, s - BEFORE + WINDOW) - max(a, s - BEFORE)
             if not secret or seen <= 4 or seen >= min(b - a, WINDOW - BEFORE):
-                out.append((text, s))
+                out.append((text, s, start, end))
                 labels.append(bool(secret) and seen > 4)
     return out, np.array(labels, dtype=float)
 
 
 @lru_cache(maxsize=4)
-def trained(n: int = 3_000, recall: float = 0.97, seed: int = 5) -> CharNet:
+def trained(n: int = 6_000, recall: float = 0.95, seed: int = 5) -> CharNet:
     """A network trained on two thirds of n labelled findings and n / 3 long candidates, and calibrated on the rest."""
     found, y = labelled_findings(n, seed)
-    x = np.stack([_codes(t, s) for t, s in found])
+    x = np.stack([_codes(t, a, a, b) for t, a, b in found])
     runs, z = labelled_runs(n // 3, seed + 1)
     cut, long = n * 2 // 3, len(runs) * 2 // 3
     seen, labels = _run_windows(runs[:long], z[:long])
     net = CharNet(seed)
-    net.train(np.concatenate([x[:cut], np.stack([_codes(t, s) for t, s in seen])]), np.concatenate([y[:cut], labels]), seed)
-    held = [(t, s, _KEY_RUN.match(t, s).end()) for (t, s), secret in zip(found[cut:], y[cut:]) if secret]
+    net.train(np.concatenate([x[:cut], np.stack([_codes(*w) for w in seen])]), np.concatenate([y[:cut], labels]), seed)
+    held = [f for f, secret in zip(found[cut:], y[cut:]) if secret]
     held += [(t, a, b) for (t, a, b, _, _), secret in zip(runs[long:], z[long:]) if secret]
     net.calibrate(x[cut:], y[cut:], recall, held)
     return net
@@ -315,8 +341,13 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, texts: list[str], net: Cha
     starts, ends = _runs(_KEY[data], edge, 16)
     digits, alphas = np.concatenate([[0], np.cumsum(_DIGIT[data])]), np.concatenate([[0], np.cumsum(_LETTER[data])])
     mixed = (digits[ends] > digits[starts]) & (alphas[ends] > alphas[starts])
+    now: int | None = None
     for d, a, b in place(starts[mixed], ends[mixed]):
-        for x, y in _beside(texts[d], a, b, [f for f in found.get(d, []) if f[0] != "learned"]):
+        if d != now:
+            now, base = d, {k: [f for f in found.get(d, []) if f[0] == k] for k in KINDS[:3]}  # of a kind they are in order, and apart
+            ends = {k: [f[2] for f in fs] for k, fs in base.items()}
+        met = [f for k, fs in base.items() for f in takewhile(lambda f: f[1] < b, islice(fs, bisect_right(ends[k], a), None))]
+        for x, y in _beside(texts[d], a, b, met):
             found.setdefault(d, []).append(("learned", x, y))
     places = [(d, f) for d, fs in found.items() for f in fs]
     scores = net.judge([(texts[d], f[1], f[2]) for d, f in places])
