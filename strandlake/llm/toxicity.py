@@ -2,12 +2,16 @@
 probabilities of the categories before it; in training these are out-of-fold predictions, as a model's view of its own
 training rows is too good.
 
-Features are the presence of hashed words; each model keeps those that tell its category best.  Training takes a bounded
-sample of labelled rows (max_train, by hash of the id), all else covers every row.
+Features are the presence of hashed words; each model keeps those that tell its category best, by their counts over its
+training rows.  The counts are summed in Spark, and only the features that some model keeps, N_FEATURES for each, come back
+with the rows, so what reaches the driver is bounded whatever the texts' lengths.  Training takes a bounded sample of labelled
+rows (max_train, by hash of the id), all else covers every row.
 
 Defined cases: null or empty text has no features and gets the models' intercepts; rows whose label is null are not
-trained on; repeated rows are scored alike; with no labelled rows, or one class only, a category's probability is its base
-rate (0 without labels) and nothing is flagged; an empty table gives an empty result; extra columns are not read.
+trained on; a document whose labels contradict each other is in a category if one of them says so; of rows that repeat an id
+one is trained on, that with the smallest hash of its text; repeated rows are scored alike, each by its own text; with no
+labelled rows, or one class only, a category's probability is its base rate (0 without labels) and nothing is flagged; an
+empty table gives an empty result; extra columns are not read by score_chain() and pass through drop_flagged().
 """
 
 from __future__ import annotations
@@ -17,16 +21,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import _tokens as tk
+from strandlake.llm._runtime import dropped, stored
 
 BITS = 22
 #: Bytes of the word beginnings that are features of their own.
 PREFIXES = (4, 6)
-#: Labelled rows trained on, at most.
-MAX_TRAIN = 6_000
+#: Labelled rows trained on, at most; folds of the out-of-fold predictions; features of a model.
+MAX_TRAIN, FOLDS, N_FEATURES = 6_000, 3, 300
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +81,12 @@ class Chain:
         return _sigmoid(earlier)
 
 
+def _chi(there: np.ndarray, positive: np.ndarray, n: int, total: float) -> np.ndarray:
+    """How well features in `there` of n rows, `positive` of the category's `total`, tell it; 0 for those of one or two rows."""
+    expect = there * (total / n)
+    return np.where(there >= 3, (positive - expect) ** 2 / np.maximum(expect * (1 - there / n * 0.999), 1e-9), 0)
+
+
 def _fit(rows: np.ndarray, keys: np.ndarray, y: np.ndarray, earlier: np.ndarray, n_features: int, l2: float = 1.0) -> Model:
     n = len(y)
     if not 0 < y.sum() < n:
@@ -83,9 +94,7 @@ def _fit(rows: np.ndarray, keys: np.ndarray, y: np.ndarray, earlier: np.ndarray,
         return Model(np.zeros(0, dtype=np.int32), np.zeros(earlier.shape[1]), float(np.log(p / (1 - p))))
     known, at = np.unique(keys, return_inverse=True)
     there = np.bincount(at, minlength=len(known)).astype(float)
-    positive = np.bincount(at, weights=y[rows], minlength=len(known))
-    expect = there * y.mean()
-    chi = np.where(there >= 3, (positive - expect) ** 2 / np.maximum(expect * (1 - there / n * 0.999), 1e-9), 0)
+    chi = _chi(there, np.bincount(at, weights=y[rows], minlength=len(known)), n, float(y.sum()))
     best = np.sort(np.argsort(-chi, kind="stable")[: min(n_features, int((chi > 0).sum()))])
     x = np.zeros((n, len(best) + earlier.shape[1]), dtype=np.float32)
     place = np.full(len(known), -1)
@@ -124,15 +133,9 @@ def _threshold(y: np.ndarray, z: np.ndarray) -> float:
     return float(s[best] - gap[best] / 2)
 
 
-def fit_chain(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, categories: tuple[str, ...], folds: int = 3, n_features: int = 300) -> Chain:
-    """labels: (documents, categories) of 0 and 1. rows, keys: presence of hashed words, sorted by row."""
+def fit_chain(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...], folds: int = FOLDS, n_features: int = N_FEATURES) -> Chain:
+    """labels: (documents, categories) of 0 and 1; fold: of each document. rows, keys: presence of hashed words, sorted by row."""
     chain, n = Chain(categories), len(labels)
-    # Features of one or two documents are never chosen; most are, so they go first.
-    _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
-    often = times[at] >= 3
-    rows, keys = rows[often].astype(np.int32), keys[often]
-    del at, often
-    fold = np.arange(n) % folds
     earlier = np.zeros((n, 0))
     for c in range(len(categories)):
         y, out = labels[:, c].astype(float), np.zeros(n)
@@ -141,7 +144,7 @@ def fit_chain(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, categories
             new = np.full(n, -1)
             new[train] = np.arange(len(train))
             mine = new[rows] >= 0
-            m = _fit(new[rows[mine]], keys[mine], y[train], earlier[train], n_features)
+            m = _fit(new[rows[mine]], keys[mine], y[train], earlier[train], n_features) if len(train) else Model(keys[:0], np.zeros(earlier.shape[1]), 0.0)
             new[:] = -1
             new[test] = np.arange(len(test))
             mine = new[rows] >= 0
@@ -154,22 +157,64 @@ def fit_chain(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, categories
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_train: int = MAX_TRAIN) -> Chain:
     """Fit on at most max_train rows of labels (doc_id and a 0/1 column for each category)."""
-    chosen = labels.select("doc_id", *categories).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    k = len(categories)
+    chosen = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"y{i}") for i, c in enumerate(categories)]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in tk.slices(b.column(0), lower=True):
-                d, k = _features(data, offsets)
-                cuts = np.searchsorted(d, np.arange(end - first + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([k[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), *(b.column(j).slice(first, end - first) for j in range(1, b.num_columns))], ["keys", *b.schema.names[1:]])
+                d, keys = _features(data, offsets)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(end - first + 1)), pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([lists, *(b.column(j).slice(first, end - first) for j in range(1, b.num_columns))], ["keys", *b.schema.names[1:]])
+
+    # max_train rows of ids and labels: a proven bound for the broadcast.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), *[F.max(f"y{i}").alias(f"y{i}") for i in range(k)])
+    fold = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = one.select("text", "doc_id", fold, *(f"y{i}" for i in range(k))).mapInArrow(extract, "keys array<int>, doc_id long, fold int, " + ", ".join(f"y{i} int" for i in range(k)))
+    sample = stored(sample, "toxicity-sample")
+    rows = sorted(sample.drop("keys").collect())
+    y = np.array([r[2:] for r in rows], dtype=float).reshape(len(rows), k)
+    folds = np.array([r[1] for r in rows], dtype=int)
+    # Features by fold and label; the best of each category and each set of training rows (all, or all but a fold).
+    each = sample.select("fold", *(f"y{i}" for i in range(k)), F.explode("keys").alias("key")).groupBy("key", "fold").agg(F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"p{i}") for i in range(k)])
+    wide = each.groupBy("key").pivot("fold", list(range(FOLDS))).agg(F.max("n").alias("n"), *[F.max(f"p{i}").alias(f"p{i}") for i in range(k)]).na.fill(0)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            key = b.column("key").to_numpy(zero_copy_only=False)
+            there = np.column_stack([b.column(f"{f}_n").to_numpy(zero_copy_only=False) for f in range(FOLDS)]).astype(float)
+            for c in range(k):
+                positive = np.column_stack([b.column(f"{f}_p{c}").to_numpy(zero_copy_only=False) for f in range(FOLDS)]).astype(float)
+                for out in range(FOLDS + 1):  # the fold that is left out, or none
+                    use, mine = [f for f in range(FOLDS) if f != out], folds != out
+                    chi = _chi(there[:, use].sum(1), positive[:, use].sum(1), max(int(mine.sum()), 1), float(y[mine, c].sum()))
+                    old = kept.get((c, out), (np.zeros(0), np.zeros(0, dtype=np.int32)))
+                    chi, keys = np.concatenate([old[0], chi[chi > 0]]), np.concatenate([old[1], key[chi > 0]])
+                    top = np.lexsort((keys, -chi))[:N_FEATURES]
+                    kept[c, out] = chi[top], keys[top]
+        for (c, out), (chi, keys) in kept.items():
+            yield pa.RecordBatch.from_pydict({"model": pa.array(np.full(len(keys), c * (FOLDS + 1) + out, dtype=np.int32)), "chi": pa.array(chi), "key": pa.array(keys.astype(np.int32))})
+
+    tops = wide.mapInArrow(best, "model int, chi double, key int")
+    first = Window.partitionBy("model").orderBy(F.desc("chi"), "key")
+    wanted = sorted({r["key"] for r in tops.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= N_FEATURES).select("key").distinct().collect()})
+    wanted_array = np.array(wanted, dtype=np.int32)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            flat, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            hit = np.isin(flat, wanted_array)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "keys": pa.array([x[h].tobytes() for x, h in zip(np.split(flat, np.cumsum(n)[:-1]), np.split(hit, np.cumsum(n)[:-1]))], pa.binary())})
 
-    # max_train rows of ids and labels: a proven bound for the broadcast and for what comes back.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", *(F.col(c).cast("int").alias(c) for c in categories))
-    got = found.mapInArrow(extract, "keys binary, doc_id long, " + ", ".join(f"`{c}` int" for c in categories)).dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r.doc_id)
-    keys = [np.frombuffer(r["keys"], dtype=np.int32) for r in got]
-    rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    return fit_chain(rows, np.concatenate([*keys, np.zeros(0, dtype=np.int32)]), np.array([[r[c] for c in categories] for r in got], dtype=float).reshape(len(got), len(categories)), categories)
+    # max_train rows of at most N_FEATURES keys for each of the models.
+    got = {r["doc_id"]: np.frombuffer(r["keys"], dtype=np.int32) for r in sample.select("doc_id", "keys").mapInArrow(keep, "doc_id long, keys binary").collect()}
+    dropped(sample)
+    keys = [got[r[0]] for r in rows]
+    owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+    return fit_chain(owner, np.concatenate([*keys, np.zeros(0, dtype=np.int32)]), y, folds, categories)
 
 
 def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -186,3 +231,17 @@ def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out)
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, " + ", ".join(f"p_{c} double, is_{c} boolean" for c in chain.categories))
+
+
+def drop_flagged(docs: DataFrame, chain: Chain, category: str) -> DataFrame:
+    """The rows of docs that the chain does not put into a category, each judged by its own text."""
+    where, j = docs.columns.index("text"), chain.categories.index(category)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = _sigmoid(np.array(chain.thresholds[j]))
+        for b in batches:
+            for first, end, data, offsets in tk.slices(b.column(where), lower=True):
+                p = chain.predict(*_features(data, offsets), end - first)[:, j]
+                yield b.slice(first, end - first).filter(pa.array(~((p >= limit) & np.isfinite(chain.thresholds[j]))))
+
+    return docs.mapInArrow(keep, docs.schema)
