@@ -39,18 +39,22 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("<|nl|>"))
     head = F.concat(F.lit(ROLE), role, F.lit("\n"))
-    rows = rows.withColumns({"place": F.row_number().over(order), "before": F.lag("role").over(order), "escaped": escape(F.col("text"))})
+    rows = rows.withColumn("head", head).withColumns({"place": F.row_number().over(order), "before": F.lag("role").over(order), "escaped": escape(F.col("text"))})
     opens = F.col("before").isNull() | (F.col("before") != F.col("role"))
-    rows = rows.withColumn("opens", opens).withColumn("mark", F.when(F.col("before").isNull(), head).when(F.col("opens"), F.concat(F.lit(END), head)).otherwise(F.lit(NEXT)))
+    rows = rows.withColumn("opens", opens).withColumn("mark", F.when(F.col("before").isNull(), F.col("head")).when(F.col("opens"), F.concat(F.lit(END), "head")).otherwise(F.lit(NEXT)))
     so_far = F.sum(F.length("mark") + F.length("escaped")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("till", so_far)
-    turn = F.struct("place", "role", "text", "escaped", "opens", "mark", "till")
+    turn = F.struct("place", "role", "head", "text", "escaped", "opens", "till")
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     runs = F.filter("turns", lambda t: t.opens)
-    merged = F.transform(runs, lambda r, i: F.struct(r.role.alias("role"), F.transform(F.slice("turns", r.place, F.coalesce(F.get(F.col("runs"), i + 1).place, F.size("turns") + 1) - r.place), lambda t: t.text).alias("texts")))
+    until = lambda i: F.coalesce(F.get(F.col("runs"), i + 1).place, F.size("turns") + 1)
+    mine = lambda r, i: F.slice("turns", r.place, until(i) - r.place)
+    merged = F.transform("runs", lambda r, i: F.struct(r.role.alias("role"), r.head.alias("head"), F.transform(mine(r, i), lambda t: t.text).alias("texts"), F.transform(mine(r, i), lambda t: t.escaped).alias("escaped")))
     loss = F.transform(F.filter("turns", lambda t: t.role == loss_role), lambda t: F.struct((t.till - F.length(t.escaped)).alias("start"), t.till.alias("end")))
-    text = F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t.mark, t.escaped)), ""), F.lit(END))
-    return whole.withColumn("runs", runs).select("conv_id", merged.alias("messages"), text.alias("formatted"), loss.alias("loss_spans"))
+    block = F.transform("messages", lambda m: F.concat(m.head, F.array_join(m.escaped, NEXT), F.lit(END)))
+    whole = whole.withColumn("runs", runs).withColumn("messages", merged)
+    texts = F.transform("messages", lambda m: F.struct(m.role.alias("role"), m.texts.alias("texts")))
+    return whole.select("conv_id", texts.alias("messages"), F.array_join(block, "").alias("formatted"), loss.alias("loss_spans"))
 
 
 def parse_formatted(formatted: Column) -> Column:
