@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -223,10 +222,17 @@ _WORDWISE = {
         ],
     },
 }
-#: Words of these characters need no normalizer but lower case, one character for one: printable ASCII, Latin letters of two bytes.
-_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f]+").fullmatch
-#: What the pattern above finds in them once they are lower-cased.
-_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017f]+|[0-9]|[^\sa-z0-9\u00df-\u017f]+", re.ASCII).findall
+#: Bytes of words whose pre-tokens need no more than lower case, one character for one: printable ASCII without the apostrophe,
+#: and Latin letters of two bytes but those in _NOT_PLAIN; one that any other byte is in is odd.
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_KINDS = np.full(256, _ODD, dtype=np.uint8)
+_KINDS[33:127] = _SIGN
+_KINDS[48:58] = _DIGIT
+_KINDS[65:91] = _KINDS[97:123] = _LETTER
+_KINDS[tk.SPACES] = _SPACE
+_KINDS[39] = _ODD
+_NOT_PLAIN = [int.from_bytes(c.encode(), "big") for c in "\u00d7\u00f7\u0130\u0131\u0149"]
+_FOLD = tk.fold_az().astype(np.uint8)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -268,9 +274,10 @@ class _Ids:
 
 
 class _WordIds(_Ids):
-    """The same, for files that are wordwise(): the tokenizer is asked once for each word, by 64-bit hash.
+    """The same, for files that are wordwise(): the tokenizer is asked once for each unit, by 64-bit hash.
 
-    A table of open addresses holds the words seen; when it is half full it is emptied.
+    Units are the pre-tokens of plain words, whatever the case of their ASCII letters, and other words whole.  A table of open
+    addresses holds the units seen; when it is half full it is emptied.
     """
 
     BITS = 21
@@ -279,50 +286,62 @@ class _WordIds(_Ids):
         super().__init__(path)
         from tokenizers import Tokenizer, pre_tokenizers
 
-        # For plain words the file's model alone gives the ids, in a third of the time.
+        # For plain pre-tokens the file's model alone gives the ids, in a third of the time.
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a pre-token
         self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.characters = _byte_characters()
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = np.zeros(256, dtype=bool)  # bytes that special strings begin with
+        self.marks[[t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()]] = True
+        self.kinds = _KINDS.copy()
+        self.kinds[self.marks] = _ODD
         self.clear()
 
-    def words_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """encode() of words."""
-        plain = [_PLAIN(w) is not None and not any(x in w for x in self.special) for w in words]
-        low = " ".join(w for w, p in zip(words, plain) if p).lower().split(" ") if any(plain) else []
-        parts: list[str] = []
-        counts = np.ones(len(low), dtype=np.int64)
-        for i, w in enumerate(low):
-            if w.isalpha():
-                parts.append(w)
-            else:
-                found = _PRETOKEN(w)
-                counts[i] = len(found)
-                parts += found
-        line = " ".join(parts)
+    def pretokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of plain pre-tokens."""
+        line = " ".join(units).lower()
         if not line.isascii():
             line = line.encode().decode("latin-1").translate(self.characters)
-        ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids if parts else [], dtype=np.uint32)
+        ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(parts):
-            return self.encode(words)
-        n = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
-        if all(plain):
-            return ids, n
-        plain = np.array(plain)
-        other, m = self.encode([w for w, p in zip(words, plain) if not p])
-        size = np.zeros(len(words), dtype=np.int64)
-        size[plain], size[~plain] = n, m
-        out, mine = np.zeros(int(size.sum()), dtype=np.uint32), np.repeat(plain, size)
-        out[mine], out[~mine] = ids, other
-        return out, size
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(units) else self.encode(units)
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes at which units start and end, whether they are plain, and their hashes."""
+        n = len(data)
+        kind = self.kinds[data]
+        lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+        lead = lead[~np.isin(data[lead].astype(np.int64) << 8 | data[lead + 1], _NOT_PLAIN)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        first = np.zeros(n, dtype=bool)  # words
+        first[1:] = kind[:-1] == _SPACE
+        first[offsets[:-1][offsets[:-1] < n]] = True
+        inside = kind != _SPACE
+        first &= inside
+        word = np.cumsum(first, dtype=np.int32) - 1
+        odd = np.zeros(int(first.sum()) + 1, dtype=bool)
+        odd[word[kind == _ODD]] = True
+        begins = np.zeros(n, dtype=bool)
+        begins[1:] = kind[1:] != kind[:-1]
+        begins = inside & (first | ((begins | (kind == _DIGIT)) & ~odd[word]))
+        starts = np.flatnonzero(begins)
+        last = np.ones(n, dtype=bool)  # bytes that end a unit: what follows begins one, or is a space or another document
+        last[:-1] = begins[1:] | ~inside[1:]
+        last[offsets[1:][offsets[1:] > 0] - 1] = True
+        ends = np.flatnonzero(last & inside) + 1
+        low = _FOLD[data]
+        if self.marks[data].any():  # special strings are of one case
+            raw = np.zeros(len(odd), dtype=bool)
+            raw[word[self.marks[data]]] = True
+            low = np.where(raw[word], data, low)
+        sums, inv = tk.prefix(low)
+        return starts, ends, ~odd[word[starts]], np.maximum(tk.span_hashes(sums, inv, starts, ends), np.uint64(1))
 
     def clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(1 << self.BITS, dtype=np.uint64), np.zeros(1 << self.BITS, dtype=np.uint32), np.zeros(1 << self.BITS, dtype=np.uint32)
-        self.ids, self.used, self.words = np.zeros(1 << 16, dtype=np.uint32), 0, 0
+        self.ids, self.used, self.known = np.zeros(1 << 16, dtype=np.uint32), 0, 0
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         """Each key's place, or the empty one where it would go."""
@@ -334,14 +353,13 @@ class _WordIds(_Ids):
             slot[open_] = (slot[open_] + 1) & ((1 << self.BITS) - 1)
         return slot
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        flat, n = self.words_of(texts)
+    def _learn(self, keys: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(n) - n
         self.used += len(flat)
-        self.words += len(keys)
+        self.known += len(keys)
         rest = np.arange(len(keys))
         while len(rest):  # of keys that meet in one empty place the last one gets it, the others look again
             slot = self._slots(keys[rest])
@@ -351,26 +369,26 @@ class _WordIds(_Ids):
             rest = rest[~won]
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = tk.words(data, offsets)
-        keys = np.maximum(w.hashes, np.uint64(1))
+        starts, ends, plain, keys = self.units(data, offsets)
         slot = self._slots(keys)
         new = np.flatnonzero(self.keys[slot] == 0)
         if len(new):
             fresh, first = np.unique(keys[new], return_index=True)
-            if self.words + len(fresh) > 1 << (self.BITS - 1):
+            new = new[first]
+            if self.known + len(fresh) > 1 << (self.BITS - 1):
                 self.clear()
                 fresh, new = np.unique(keys, return_index=True)
-            else:
-                new = new[first]
             raw = data.tobytes()
-            for i in range(0, len(fresh), 1 << 16):
-                part = new[i : i + (1 << 16)]
-                self._learn(fresh[i : i + (1 << 16)], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[part].tolist(), w.ends[part].tolist())])
+            for how, some in ((self.pretokens, plain[new]), (self.encode, ~plain[new])):
+                at = np.flatnonzero(some)
+                for i in range(0, len(at), 1 << (self.BITS - 2)):
+                    part = at[i : i + (1 << (self.BITS - 2))]
+                    self._learn(fresh[part], *how([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new[part]].tolist(), ends[new[part]].tolist())]))
             slot = self._slots(keys)
         n = self.n[slot].astype(np.int64)
-        ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.at[slot] - (ends - n), n) + np.arange(int(n.sum()))] if len(n) else self.ids[:0]
-        return ids, np.concatenate([[0], ends])[w.bounds]
+        sums = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[slot] - (sums - n), n) + np.arange(int(n.sum()))] if len(n) else self.ids[:0]
+        return ids, np.concatenate([[0], sums])[np.searchsorted(starts, offsets)]
 
 
 _known: dict[str, _Ids] = {}
