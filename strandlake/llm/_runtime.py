@@ -71,10 +71,11 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, *keys: str) -> tuple[DataFrame
 
 
 def salted_left(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
-    """rows left-joined with a table that has one row for each key: a hot key's rows are dealt to SALTS tasks."""
+    """rows left-joined with a table that has one row for each key: a hot key's rows are dealt to SALTS tasks. Never by
+    broadcast, as the table may be of any size."""
     dealt = rows.withColumn("__sl_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     copies = table.withColumn("__sl_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(copies, [*keys, "__sl_salt"], "left").drop("__sl_salt")
+    return dealt.join(copies.hint("merge"), [*keys, "__sl_salt"], "left").drop("__sl_salt")
 
 
 def lookup_rows(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:

@@ -104,22 +104,25 @@ def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
     n = len(hashes) - len(mask) + 1
     out = np.full(max(n, 0), np.uint64(int(mask, 2)), dtype=np.uint64)
     for j, bit in enumerate(mask):
-        if bit == "1" and n > 0:
-            out = out * tk._Q + hashes[j : j + n]
-    return tk.mix(out)
+        if bit == "1" and n > 0:  # words' hashes are mixed already, so their polynomial needs no mixing
+            out *= tk._Q
+            out += hashes[j : j + n]
+    return out
 
 
 def _probes(hashes: np.ndarray, bits: int, j: int) -> np.ndarray:
-    return ((hashes + np.uint64(j) * (hashes >> np.uint64(32) | np.uint64(1))) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    place = hashes + np.uint64(j) * (hashes >> np.uint64(32) | np.uint64(1)) if j else hashes
+    return (place & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
 def known_seeds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Places of the hashes that may be in the bit table."""
     bits = int(len(table) * 8).bit_length() - 1
-    at = np.arange(len(hashes))
+    at: np.ndarray | slice = slice(None)
     for j in range(PROBES):
         p = _probes(hashes[at], bits, j)
-        at = at[(table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+        hit = np.flatnonzero(table[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+        at = hit if j == 0 else at[hit]
     return at
 
 
