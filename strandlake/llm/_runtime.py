@@ -2,32 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, deleted when the driver ends; where that is unset, a folder of our own on a
-    local master (tests), an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}/strandlake-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
-    return path
-
-
-def _file_system(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+from strandlake.sources.scratch import file_system, shared_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +21,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a stored() table that nothing reads any more."""
-    fs, p = _file_system(df.sparkSession, df._strandlake_path)
+    fs, p = file_system(df.sparkSession, df._strandlake_path)
     fs.delete(p, True)
 
 
