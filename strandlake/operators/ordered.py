@@ -72,18 +72,22 @@ def saturation(rows: DataFrame, order: str, values: list[str], steps: int = 10)
     return F.broadcast(cuts).join(firsts, F.col("__at") <= F.col("__cut")).groupBy("step", "n_rows").agg(F.count("*").alias("n_distinct"))
 
 
-def rank_all(rows: DataFrame, order: str, n: int, per_block: int = 1_000_000) -> DataFrame:
-    """rank 1..n by a unique column: ranges of the column are counted, then ranked each by itself."""
-    blocks = max(1, -(-n // per_block))
-    if blocks == 1:
-        return rows.withColumn("rank", F.row_number().over(Window.orderBy(order)))
-    cuts = rows.stat.approxQuantile(order, [(i + 1) / blocks for i in range(blocks - 1)], 0.001)
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order)))
-    dealt = rows.withColumn("__block", block)
-    sizes = dealt.groupBy("__block").agg(F.count("*").alias("__n"))
-    before = sizes.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__block").orderBy(order))
-    return dealt.withColumn("__rank", inside).join(F.broadcast(before), "__block").withColumn("rank", F.col("__before") + F.col("__rank")).drop("__block", "__rank", "__before")
+#: Most ranges of a column that rank_all() counts, so their running sum is one small task.
+MAX_RANGES = 1 << 20
+
+
+def rank_all(rows: DataFrame, order: str, n: int, per_range: int = 100_000) -> DataFrame:
+    """rank 1..n by a unique numeric column: ranges of equal width are counted, then ranked each by itself. Ids and hashes fill
+    their ranges evenly."""
+    ranges = min(MAX_RANGES, max(1, -(-n // per_range)))
+    low, high = (float(x) if x is not None else 0.0 for x in rows.agg(F.min(order), F.max(order)).first())
+    width = (high - low) / ranges or 1.0
+    place = F.least(F.greatest(F.floor((F.col(order).cast("double") - low) / width), F.lit(0)), F.lit(ranges - 1))
+    dealt = rows.withColumn("__range", place)
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return dealt.withColumn("__rank", inside).join(before, "__range").withColumn("rank", F.col("__before") + F.col("__rank")).drop("__range", "__rank", "__before")
 
 
 def dominance(rows: DataFrame, key: str, value: str, count: str) -> DataFrame:
@@ -103,19 +107,35 @@ def terminal_feature(rows: DataFrame, key: str, strand: str, start: str, last: b
 
 
 def thin_positions(rows: DataFrame, key: str, pos: str, gap: int = 100) -> DataFrame:
-    """Drops a position closer than gap to the last one kept, in order; sequential by nature, so one array fold for a
-    key's positions."""
-    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(pos)).alias("p"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    kept = F.aggregate("p", zero, lambda s, x: F.when(s["last"].isNull() | (x - s["last"] >= gap), F.struct(x.cast("long").alias("last"), F.concat(s["kept"], F.array(x.cast("long"))).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return arrays.select(key, F.explode(kept).alias(pos))
+    """Drops a position closer than gap to the last one kept, in order.
+
+    A position at least gap after the one before it is kept whatever came before, so a key falls into runs that are thinned
+    each by itself, row by row in their order; a key's rows are only sorted together, never held.
+    """
+    by = Window.partitionBy(key).orderBy(pos)
+    fresh = F.coalesce(F.col(pos) - F.lag(pos).over(by) >= gap, F.lit(True)).cast("int")
+    runs = rows.select(key, F.col(pos).cast("long").alias(pos)).withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0
+        for b in batches:
+            kept = []
+            for i, (k, r, p) in enumerate(zip(b[key], b["__run"], b[pos])):
+                if (k, r) != now or p - last >= gap:
+                    now, last = (k, r), p
+                    kept.append(i)
+            yield b.iloc[kept][[key, pos]]
 
-def umi_clusters(rows: DataFrame, keys: list[str], umi: str, trusted: str, count: str, order: str, max_distance: int) -> DataFrame:
+    fields = {f.name: f.dataType.simpleString() for f in runs.schema}
+    return runs.repartition(key, "__run").sortWithinPartitions(key, "__run", pos).mapInPandas(thin, f"`{key}` {fields[key]}, `{pos}` long")
+
+
+def umi_clusters(rows: DataFrame, keys: list[str], umi: str, trusted: str, count: str, order: str, max_distance: int, disregard_length: bool = False) -> DataFrame:
     """Greedy clusters of UMIs in order of `order`: a UMI joins the cluster whose head is nearest, the first of equally near ones, if that is near enough, else founds one.
 
     The distance is the edit distance less the difference of lengths, and near enough is max_distance (0: one holds the
-    other, the distance is the difference of lengths; below 0: all are one). Equal UMIs are collapsed first, so a group's size is its distinct UMIs.
+    other, the distance is the difference of lengths; below 0: all are one). With disregard_length it is the edit distance
+    itself (0: they are equal). Equal UMIs are collapsed first, so a group's size is its distinct UMIs.
     """
     distinct = rows.groupBy(*keys, umi).agg(F.bool_or(trusted).alias(trusted), F.sum(count).alias(count), F.min(order).alias(order))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema) + ", cluster string"
@@ -125,7 +145,7 @@ def umi_clusters(rows: DataFrame, keys: list[str], umi: str, trusted: str, count
         out = []
         group = group.sort_values([order, umi])
         for u in group[umi]:
-            near = [(d, i) for i, h in enumerate(heads) if (d := _distance(h, u, max_distance)) is not None]
+            near = [(d, i) for i, h in enumerate(heads) if (d := _distance(h, u, max_distance, disregard_length)) is not None]
             head = heads[min(near)[1]] if near else None
             if head is None:
                 heads.append(u)
@@ -136,10 +156,13 @@ def umi_clusters(rows: DataFrame, keys: list[str], umi: str, trusted: str, count
     return distinct.groupBy(*keys).applyInPandas(cluster, schema)
 
 
-def _distance(a: str, b: str, most: int) -> int | None:
+def _distance(a: str, b: str, most: int, disregard_length: bool) -> int | None:
     """How far a head is, None if it is too far."""
     if most < 0:
         return 0
+    if disregard_length:
+        d = 0 if a == b else most + 1 if most == 0 else levenshtein(a, b)
+        return d if d <= most else None
     if most == 0:
         return abs(len(a) - len(b)) if a in b or b in a else None
     d = levenshtein(a, b) - abs(len(a) - len(b))
@@ -192,6 +215,12 @@ def coordinate_dedup(rows: DataFrame, keys: list[str], start: str, end: str, ord
     return rows.groupBy(*keys).applyInPandas(keep, schema)
 
 
+def uniform(seed: int, *keys: str | Column) -> Column:
+    """A number in [0, 1) for a row's keys, from their MD5 digest, so that any engine can draw the same ones."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
 def stratified_sample(rows: DataFrame, by: list[str], n: int, seed: int, *unique: str) -> DataFrame:
     """R2: n rows of each group, by a hash, so the same rows whatever the partitions."""
     w = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(u).cast("string") for u in unique])), *unique)
@@ -199,8 +228,8 @@ def stratified_sample(rows: DataFrame, by: list[str], n: int, seed: int, *unique
 
 
 def bernoulli(rows: DataFrame, fraction: float, seed: int, *unique: str) -> DataFrame:
-    """Rows whose hash falls below the fraction; repeatable."""
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), *unique), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """Rows whose number falls below the fraction; repeatable."""
+    return rows.filter(uniform(seed, *unique) < fraction)
 
 
 def batches(rows: Iterator, size: int) -> Iterator[list]:

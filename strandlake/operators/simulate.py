@@ -6,10 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def uniform(seed: int, *keys: str | Column) -> Column:
-    """A repeatable number in [0, 1) for a row's keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys]), F.lit(1 << 52)) / float(1 << 52)
+from strandlake.operators.ordered import uniform
 
 
 def normal(seed: int, *keys: str) -> Column:
@@ -58,8 +55,9 @@ def perturb_ends(transcripts: DataFrame, seed: int, share: float, low: int = 50,
     first, last = F.col("exons")[0], F.element_at("exons", -1)
     shift = F.when(at_end, F.when(last["end"] + size > last["start"], size).otherwise(-size)).otherwise(F.when(first["start"] + size < first["end"], size).otherwise(-size))
     n = F.size("exons")
-    moved = F.transform("exons", lambda e, i: F.struct((e["start"] + F.when(~at_end & (i == 0), shift).otherwise(0)).alias("start"), (e["end"] + F.when(at_end & (i == n - 1), shift).otherwise(0)).alias("end")))
-    return chosen.withColumns({"exons": moved, "transcript_id": F.concat("transcript_id", F.lit("_alt"))})
+    moved = F.transform("exons", lambda e, i: F.struct((e["start"] + F.when(~at_end & (i == 0), F.col("__shift")).otherwise(0)).alias("start"), (e["end"] + F.when(at_end & (i == n - 1), F.col("__shift")).otherwise(0)).alias("end")))
+    shifted = chosen.withColumn("__shift", shift).withColumn("exons", moved).drop("__shift")
+    return shifted.withColumn("transcript_id", F.concat("transcript_id", F.lit("_alt")))
 
 
 def fragments(alignments: DataFrame, sequences: DataFrame) -> DataFrame:

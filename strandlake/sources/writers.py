@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.ordered import uniform
+
 
 def write_tsv(rows: DataFrame, path: str, header: bool = True) -> None:
     """Tab-separated, a file for each partition."""
@@ -72,7 +74,7 @@ def strand_tag(ts: Column, flag: Column) -> Column:
 
 def read_groups(rows: DataFrame, groups: int, seed: int, key: str) -> DataFrame:
     """A repeatable group in [0, groups) for each row."""
-    return rows.withColumn("rg", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(groups)).cast("int"))
+    return rows.withColumn("rg", F.floor(uniform(seed, key) * groups).cast("int"))
 
 
 def wide_samples(rows: DataFrame, keys: list[str], sample: str, samples: list[str]) -> DataFrame:
