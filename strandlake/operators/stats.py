@@ -125,19 +125,33 @@ def codon_dependency(cells: DataFrame, keys: Sequence[str], row: str, column: st
 def adjust(rows: DataFrame, p: str, name: str, method: str = "BH", by: Sequence[str] = ()) -> DataFrame:
     """False discovery rates (BH, or BY with the harmonic factor) within by.
 
-    The p-values are first counted by value and the running minimum goes over distinct values, so ties are one row.
+    The p-values are first counted by value, so ties are one row. Ranks and running minima go in two levels: over bands of p,
+    a 64th of a power of two each, and within a band, so no task holds all p-values.
     """
-    valid = rows.filter(F.col(p).isNotNull())
-    per = valid.groupBy(*by, p).agg(F.count("*").alias("__k"))
-    up = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("__k").over(Window.partitionBy(*by))
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i) if method == "BY" else F.lit(1.0)
-    raw = per.withColumns({"__rank": F.sum("__k").over(up), "__m": n * harmonic})
-    fdr = raw.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(down)))
+    by = list(by)
+    band = F.when(F.col(p) > 0, F.floor(-64 * F.log2(F.col(p)))).otherwise(1 << 17)  # from large p to small
+    per = rows.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__k")).withColumn("__band", band)
+    inside = Window.partitionBy(*by, "__band")
+    smaller = Window.partitionBy(*by).orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
+    larger = Window.partitionBy(*by).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = per.groupBy(*by, "__band").agg(F.sum("__k").alias("__s"))
+    sizes = sizes.withColumns({"__before": F.coalesce(F.sum("__s").over(smaller), F.lit(0)), "__n": F.sum("__s").over(Window.partitionBy(*by))})
+    upto = inside.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    factor = F.col("__n") * (harmonic_number(F.col("__n")) if method == "BY" else F.lit(1.0))
+    raw = per.join(sizes, [*by, "__band"]).withColumn("__raw", F.col(p) * factor / (F.col("__before") + F.sum("__k").over(upto)))
+    best = raw.groupBy(*by, "__band").agg(F.min("__raw").alias("__least")).withColumn("__above", F.min("__least").over(larger)).drop("__least")
+    down = inside.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    fdr = raw.join(best, [*by, "__band"]).withColumn(name, F.least(F.lit(1.0), F.min("__raw").over(down), "__above"))
     return rows.join(fdr.select(*by, p, name), [*by, p], "left")
 
 
+def harmonic_number(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: summed up to 256, beyond that by Euler and Maclaurin, exact to the last digits of a double."""
+    x = n.cast("double")
+    summed = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(256)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i)
+    return F.when(n <= 256, summed).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
 def psi(include: Column, exclude: Column) -> Column:
     """D3: share of inclusion."""
     return include / F.nullif(include + exclude, F.lit(0))
