@@ -16,9 +16,9 @@ ALLINFO = "read_id string, gene_id string, cell_type string, barcode string, umi
 
 
 def detect_format(path: str) -> str:
-    """Fasta, fastq, or sam by the name without .gz; ValueError else."""
+    """Fasta, fastq, sam or bam by the name without .gz; ValueError else (CRAM has no reader)."""
     name = path.lower().removesuffix(".gz").removesuffix(".gzip")
-    for kind, ends in {"fasta": (".fasta", ".fa", ".fna"), "fastq": (".fastq", ".fq"), "sam": (".sam",), "bam": (".bam", ".cram")}.items():
+    for kind, ends in {"fasta": (".fasta", ".fa", ".fna"), "fastq": (".fastq", ".fq"), "sam": (".sam",), "bam": (".bam",)}.items():
         if name.endswith(ends):
             return kind
     raise ValueError(f"unknown format: {path}")
@@ -174,10 +174,10 @@ def read_snp_matrix(spark: SparkSession, path: str, samples: list[str]) -> DataF
 
 def read_mex(spark: SparkSession, folder: str) -> DataFrame:
     """feature_id, feature_name, barcode, count of a 10x matrix folder, kept long."""
-    lines = spark.read.text(f"{folder}/matrix.mtx*").filter(~F.col("value").startswith("%"))
+    lines = numbered_lines(spark, f"{folder}/matrix.mtx*").filter(~F.col("value").startswith("%"))
     f = F.split(F.col("value"), " ")
-    size = lines.limit(1).collect()[0][0]  # the first line holds the three sizes
-    cells = lines.filter(F.col("value") != size).select(f[0].cast("long").alias("i"), f[1].cast("long").alias("j"), f[2].cast("double").alias("count"))
+    size = lines.agg(F.min("line")).first()[0]  # the first line that is no comment holds the three sizes
+    cells = lines.filter(F.col("line") > F.lit(size)).select(f[0].cast("long").alias("i"), f[1].cast("long").alias("j"), f[2].cast("double").alias("count"))
     return cells.join(_numbered(spark, f"{folder}/features.tsv*").select(F.col("n").alias("i"), F.split("value", "\t")[0].alias("feature_id"), F.split("value", "\t")[1].alias("feature_name")), "i").join(_numbered(spark, f"{folder}/barcodes.tsv*").select(F.col("n").alias("j"), F.col("value").alias("barcode")), "j").select("feature_id", "feature_name", "barcode", "count")
 
 
@@ -237,6 +237,11 @@ def read_lengths(reads: DataFrame, seq: str = "seq") -> DataFrame:
     return reads.select(F.length(seq).alias("length")).orderBy("length")
 
 
+def sequence_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """Id and length of every record of a FASTA file."""
+    return read_fasta(spark, path).select("id", F.length("seq").alias("length"))
+
+
 def line_count(spark: SparkSession, path: str) -> int:
     """S31."""
     return spark.read.text(path).count()
