@@ -51,7 +51,7 @@ def quality_whitelist(rows: DataFrame, quality: str, least: float, ids: DataFram
 
 def hold_out(isoforms: DataFrame, seed: int, drop: float, least: float) -> DataFrame:
     """Expressed isoforms (gene_id, transcript_id, tpm) with a repeatable part held out, never all of a gene."""
-    roll = F.pmod(F.xxhash64(F.lit(seed), "transcript_id"), F.lit(10_000)) < int(drop * 10_000)
+    roll = ordered.uniform(seed, "transcript_id") < drop
     marked = isoforms.withColumn("held_out", roll & (F.col("tpm") >= least))
     kept = F.count_if(~F.col("held_out")).over(Window.partitionBy("gene_id"))
     first = F.row_number().over(Window.partitionBy("gene_id").orderBy(F.desc("tpm"), "transcript_id")) == 1
@@ -59,9 +59,10 @@ def hold_out(isoforms: DataFrame, seed: int, drop: float, least: float) -> DataF
 
 
 def restore_versions(short: DataFrame, full: DataFrame, key: str) -> DataFrame:
-    """full ids for short ones; those that are not found are dropped."""
-    table = full.select(sq.without_version(key).alias("__short"), F.col(key).alias("full_id")).dropDuplicates(["__short"])
-    return short.join(table, F.col(key) == F.col("__short")).drop("__short")
+    """full ids (key of full) for short ones (first column of short), the smallest of several; those that are not found are
+    dropped."""
+    table = full.groupBy(sq.without_version(key).alias("__short")).agg(F.min(key).alias("full_id"))
+    return short.join(table, short[short.columns[0]] == F.col("__short")).drop("__short")
 
 
 def split_column(rows: DataFrame, column: str, names: Sequence[str], sep: str = "::") -> DataFrame:
@@ -202,7 +203,8 @@ def event_flags(assignments: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     w = Window.partitionBy("read_id").orderBy("isoform_id", "events")
     one = assignments.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
     events = F.split(F.col("events"), "[,+]")
-    return one.agg(F.count("*").alias("reads"), *[F.count_if(F.exists(events, lambda e, p=p: e.startswith(p))).alias(p) for p in prefixes])
+    has = lambda p: F.exists(events, lambda e: e.startswith(p))
+    return one.agg(F.count("*").alias("reads"), *[F.count_if(has(p)).alias(p) for p in prefixes])
 
 
 def exon_summary(exons: DataFrame) -> DataFrame:
@@ -296,17 +298,22 @@ def site_exon_combinations(transcripts: DataFrame) -> DataFrame:
 
 def shuffled_saturation(rows: DataFrame, unique: str, values: list[str], seed: int, steps: int = 10) -> DataFrame:
     """The saturation curve in a repeatable random order."""
-    return ordered.saturation(rows.withColumn("__order", F.xxhash64(F.lit(seed), unique)), "__order", values, steps)
+    return ordered.saturation(rows.withColumn("__order", ordered.uniform(seed, unique)), "__order", values, steps)
 
 
 def subsampling_curve(reads: DataFrame, least: int = 10, iterations: int = 20, seed: int = 1) -> DataFrame:
-    """Genes with enough reads when a tenth to nine tenths are drawn: median and quartiles over the iterations."""
-    spark = reads.sparkSession
-    plan = spark.range(iterations).withColumnRenamed("id", "it").crossJoin(spark.range(1, 10).withColumnRenamed("id", "tenth"))
-    drawn = reads.select("read_id", "gene_id").crossJoin(F.broadcast(plan)).filter(F.pmod(F.xxhash64(F.lit(seed), "it", "tenth", "read_id"), F.lit(10)) < F.col("tenth"))
-    genes = drawn.groupBy("it", "tenth", "gene_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).groupBy("it", "tenth").agg(F.count("*").alias("genes"))
-    full = plan.join(genes, ["it", "tenth"], "left").na.fill(0)
-    return full.groupBy("tenth").agg(*[F.percentile("genes", q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    """Genes with enough reads when a tenth to nine tenths are drawn: median and quartiles over the iterations.
+
+    A read has one number for each iteration and is drawn where that is below the share, so a read becomes `iterations` rows
+    at most before they are counted by gene.
+    """
+    each = reads.select("read_id", "gene_id", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it"))
+    roll = each.select("it", "gene_id", ordered.uniform(seed, "it", "read_id").alias("u"))
+    per = roll.groupBy("it", "gene_id").agg(*[F.count_if(F.col("u") < t / 10).alias(f"n{t}") for t in range(1, 10)])
+    genes = per.groupBy("it").agg(*[F.count_if(F.col(f"n{t}") >= least).alias(str(t)) for t in range(1, 10)])
+    spine = reads.sparkSession.range(iterations).select(F.col("id").cast("int").alias("it"))
+    long = spine.join(genes, "it", "left").na.fill(0).unpivot(["it"], [str(t) for t in range(1, 10)], "tenth", "genes")
+    return long.groupBy(F.col("tenth").cast("long").alias("tenth")).agg(*[F.percentile("genes", q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
 
 
 def sorted_rows(rows: DataFrame, *keys: str, descending: Sequence[str] = ()) -> DataFrame:
@@ -381,11 +388,13 @@ def linker_halves(rows: DataFrame, left: DataFrame, right: DataFrame, linker: st
 # Assemblies, contigs and profiles
 
 
-def distant_misassemblies(alignments: DataFrame, most: int = 1000) -> DataFrame:
-    """Contigs two of whose alignments, to one reference, lie much farther apart there than in the contig."""
-    a = alignments.select("contig", "chr", F.col("start").alias("s1"), F.col("q_start").alias("q1"), F.col("aln").alias("i"))
-    b = alignments.select("contig", "chr", F.col("start").alias("s2"), F.col("q_start").alias("q2"), F.col("aln").alias("j"))
-    return a.join(b, ["contig", "chr"]).filter((F.col("i") < F.col("j")) & (F.abs(F.abs(F.col("s1") - F.col("s2")) - F.abs(F.col("q1") - F.col("q2"))) > most)).select("contig").distinct()
+def distant_misassemblies(alignments: DataFrame, least: int = 1000, most_shared: float = 0.2) -> DataFrame:
+    """Contigs whose primary alignment and a supplementary one share little of the contig and lie on different references,
+    or on one with starts at least `least` farther apart, or nearer, than in the contig."""
+    place = lambda i: F.struct(F.col("q_start").alias("start"), F.col("q_end").alias("end"), F.col("chr").alias("chr"), F.col("start").alias("at")).alias(i)
+    a, b = alignments.filter("is_primary").select("contig", place("p")), alignments.filter("not is_primary").select("contig", place("s"))
+    apart = F.abs(F.abs(F.col("p.at") - F.col("s.at")) - F.abs(F.col("p.start") - F.col("s.start"))) >= least
+    return a.join(b, "contig").filter((iv.overlap_fraction(F.col("p"), F.col("s")) <= most_shared) & ((F.col("p.chr") != F.col("s.chr")) | apart)).select("contig").distinct()
 
 
 def covered_references(alignments: DataFrame, least: float = 0.95) -> DataFrame:
@@ -479,7 +488,7 @@ def site_shifts(pairs: DataFrame, reach: int = 10) -> DataFrame:
 
 def select_pairs(long: DataFrame, short: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
     """Short reads of `limit` long ones, taken in the order of a hash."""
-    some = long.orderBy(F.xxhash64("read_id"), "read_id").limit(limit)
+    some = long.orderBy(F.md5(F.col("read_id").cast("string")), "read_id").limit(limit)
     return pairs.join(F.broadcast(some.select(F.col("read_id").alias("long_id"))), "long_id", "left_semi").join(short.withColumnRenamed("read_id", "short_id"), "short_id")
 
 
@@ -578,9 +587,10 @@ def assign_by_junctions(reads: DataFrame, isoforms: DataFrame) -> DataFrame:
 
 
 def ideal_isoforms(isoforms: DataFrame, codons: DataFrame, least: int = 2, weight: int = 1000) -> DataFrame:
-    """Each coding isoform as a barcode of its own with its codon pair and a weight, of genes with enough pairs."""
+    """Each coding isoform as a barcode of its own with its codon pair and a weight, of genes with enough distinct start
+    codons and enough distinct stop codons."""
     rows = isoforms.filter("is_coding").join(codons, ["gene_id", "transcript_id"])
-    wide = rows.groupBy("gene_id").agg(F.count_distinct("start_codon", "stop_codon").alias("k")).filter(F.col("k") >= least)
+    wide = rows.groupBy("gene_id").agg(F.count_distinct("start_codon").alias("k"), F.count_distinct("stop_codon").alias("m")).filter((F.col("k") >= least) & (F.col("m") >= least))
     return relational.whitelist(rows, wide, "gene_id").select("gene_id", F.col("transcript_id").alias("barcode"), "start_codon", "stop_codon", F.lit(weight).alias("weight"))
 
 

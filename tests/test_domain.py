@@ -22,7 +22,7 @@ def test_filters(spark):
     assert rows(d.filter_exon_counts(counts, 10), "exon") == [("a",)] and rows(d.filter_exon_counts(counts, 10, True), "exon") == [("a",), ("b",)]
     iso = frame(spark, "gene_id string, transcript_id string, tpm double", *[("g", f"t{i}", 5.0) for i in range(6)])
     assert rows(d.hold_out(iso, 1, 1.0, 1.0).filter("not held_out"), "transcript_id") == [("t0",)]
-    assert rows(d.restore_versions(frame(spark, "id string", ("E1",), ("E9",)), frame(spark, "id string", ("E1.5",)), "id"), "full_id") == [("E1.5",)]
+    assert rows(d.restore_versions(frame(spark, "short string", ("E1",), ("E9",)), frame(spark, "id string", ("E1.5",)), "id"), "full_id") == [("E1.5",)]
     assert rows(d.split_column(frame(spark, "k int, c string", (1, "a::b")), "c", ["x", "y"]), "k", "x", "y") == [(1, "a", "b")]
     al = frame(spark, f"read_id string, flag int, cigar string, blocks {EX}", ("r1", 0, "5M10N5M", [(1, 5), (16, 20)]), ("r2", 256, "5M", [(1, 5)]), ("r3", 0, "3M", [(1, 3)]))
     assert rows(d.filter_reads(al, spliced=True), "read_id") == [("r1",)] and rows(d.filter_reads(al, min_aligned=3), "read_id") == [("r1",), ("r3",)]
@@ -74,8 +74,12 @@ def test_profiles_and_contigs(spark):
     codons = frame(spark, "gene_id string, kind string, pos long", ("g", "start", 5), ("g", "stop", 15))
     assert rows(d.covered_codons(contigs, codons), "contig", "kind") == [("c1", "pair"), ("c2", "none")]
     assert rows(d.split_map(frame(spark, "id string", ("n1_barcodeIDs_a,b",)), "id"), "contig", "barcode") == [("n1", "a"), ("n1", "b")]
-    mis = frame(spark, "contig string, chr string, start long, q_start long, aln int", ("c", "1", 0, 0, 1), ("c", "1", 5000, 100, 2), ("d", "1", 0, 0, 1), ("d", "1", 90, 100, 2))
-    assert rows(d.distant_misassemblies(mis), "contig") == [("c",)]
+    places = [("c", "1", 0, 0, 99, True), ("c", "1", 5000, 100, 200, False), ("d", "1", 0, 0, 99, True), ("d", "1", 90, 100, 200, False)]
+    places += [("e", "1", 0, 0, 99, True), ("e", "1", 1100, 100, 200, False)]  # exactly 1000 farther apart
+    places += [("f", "1", 0, 0, 99, True), ("f", "1", 9000, 50, 149, False)]  # half of the contig is shared
+    places += [("g", "1", 0, 0, 99, True), ("g", "2", 0, 100, 200, False), ("h", "1", 0, 0, 99, False), ("h", "1", 9000, 100, 200, False)]
+    mis = frame(spark, "contig string, chr string, start long, q_start long, q_end long, is_primary boolean", *places)
+    assert rows(d.distant_misassemblies(mis), "contig") == [("c",), ("e",), ("g",)]
     r = frame(spark, f"exons {EX}, blocks {EX}, strand string", ([(1, 10), (21, 30)], [(6, 10), (21, 30)], "-"))
     assert rows(d.clipped_fractions(r), "left", "right") == [(0.0, 0.25)]
     bed = frame(spark, "start long, block_sizes string, block_starts string", (0, "10,5,", "0,20,"))
@@ -143,6 +147,8 @@ def test_legacy_assignment(spark):
     pairs = frame(spark, "seq1 string, seq2 string", ("ACGT", "TTACGTTT"))
     assert d.exon_similarity(pairs).first().similarity == 1.0
     codons = frame(spark, "gene_id string, transcript_id string, start_codon long, stop_codon long", ("g", "t1", 1, 9), ("g", "t2", 1, 12))
+    assert d.ideal_isoforms(iso, codons).count() == 0  # two pairs, but one start only
+    codons = frame(spark, "gene_id string, transcript_id string, start_codon long, stop_codon long", ("g", "t1", 1, 9), ("g", "t2", 4, 12))
     assert d.ideal_isoforms(iso, codons).count() == 2
     s = d.read_summary(frame(spark, "gene_id string, sample string", ("g", "x"), ("g", "x"), ("h", "x")), frame(spark, "gene_id string, bin int, spliced boolean", ("g", 1, True)), ["x", "y"])
     assert rows(s.na.fill(0), "gene_id", "y") == [("g", 0.0), ("h", 0.0)]
