@@ -215,9 +215,9 @@ def simulate_reads(templates: DataFrame, total: int, chemistry: str, barcodes: i
     size = 16 if chemistry == "10x" else 14
 
     def bases(salt: int, length: int, *key: str) -> Column:
-        digits = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda j: F.substring(F.lit("ACGT"), (F.pmod(F.xxhash64(F.lit(seed + salt), *[F.col(k) for k in key], j), F.lit(4)) + 1).cast("int"), F.lit(1)))
-        return F.array_join(digits, "")
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed + salt)), *[F.col(k).cast("string") for k in key]))
+        return F.substring(F.translate(digest, "0123456789abcdef", "ACGT" * 4), 1, length)
 
-    rows = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "transcript_id", "i"), F.lit(barcodes)))
+    rows = rows.withColumn("b", F.floor(ordered.uniform(seed, "transcript_id", "i") * barcodes))
     rows = rows.withColumns({"barcode": bases(1, size, "b"), "umi": bases(2, umi, "transcript_id", "i")})
     return rows.select(F.concat_ws("_", F.lit("READ"), "i", "transcript_id", "barcode", "umi", F.lit("+")).alias("read_id"), sq.template(F.col("seq"), F.col("barcode"), F.col("umi"), chemistry).alias("seq"), "transcript_id", "barcode", "umi")

@@ -88,7 +88,7 @@ def test_thinning_dominance_saturation(spark):
     s = spark.createDataFrame([(i, v) for i, v in enumerate("aabbccddee")], "o long, v string")
     assert [r.n_distinct for r in ordered.saturation(s, "o", ["v"]).orderBy("step").collect()] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
     assert ordered.saturation(s.limit(0), "o", ["v"]).count() == 0
-    ranked = ordered.rank_all(s.select("o"), "o", 10, per_block=3)
+    ranked = ordered.rank_all(s.select("o"), "o", 10, per_range=3)
     assert [r["rank"] for r in ranked.orderBy("o").collect()] == list(range(1, 11))
 
 
@@ -178,7 +178,11 @@ def test_barcode_calls(spark):
         reads = pipelines.simulate_reads(seqs, 4000, chemistry, 10, umi, 1)
         calls = align.call_barcodes(reads, reads.select("barcode"), kind).join(reads.select("read_id", F.col("barcode").alias("truth"), F.col("umi").alias("true_umi")), "read_id").collect()
         assert len(calls) == 20
-        assert sum(r.barcode == r.truth for r in calls) >= 18 and sum(r.umi == r.true_umi for r in calls) >= 14
+        assert sum(r.barcode == r.truth for r in calls) >= 19
+        until_t = [r.true_umi.startswith(r.umi) and not r.true_umi[len(r.umi) :].strip("T") for r in calls]  # a UMI that ends in T runs into the poly-T
+        assert sum(until_t) >= 19
+        blocks = align.call_barcodes(reads, reads.select("barcode"), kind, block=3)
+        assert {(r.read_id, r.barcode) for r in blocks.collect()} == {(r.read_id, r.barcode) for r in calls}
 
 
 def test_streams_equal_batches(spark, tmp_path):
