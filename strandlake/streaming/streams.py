@@ -29,6 +29,16 @@ def first_seen(events: DataFrame, *keys: str, late: str = "2 hours") -> DataFram
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
 
 
+def running_maxima(samples: DataFrame, key: str, *values: str) -> DataFrame:
+    """ST5: the largest value of each measure so far, by what is watched; on a stream a line is sent again when it rises."""
+    return samples.groupBy(key).agg(*[F.max(v).alias(f"max_{v}") for v in values])
+
+
+def alerts(samples: DataFrame, value: str, limit: float) -> DataFrame:
+    """ST6: the samples beyond a limit, as they come."""
+    return samples.filter(F.col(value) > limit)
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is there now into a memory table; for tests and small reports."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
