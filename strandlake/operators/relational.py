@@ -141,10 +141,12 @@ def split_barcode_join(rows: DataFrame, part1: DataFrame, part2: DataFrame, barc
 
 
 def shared_kmer_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, seq: str, k: int, least: int) -> DataFrame:
-    """Pairs that share at least `least` distinct k-mers, with how many."""
+    """Pairs that share at least `least` distinct k-mers, with how many; sequences that repeat are compared once."""
     from strandlake.functions.sequence import kmers
 
-    def exploded(rows: DataFrame, key: str) -> DataFrame:
-        return rows.select(F.col(key), F.explode(F.array_distinct(kmers(seq, k))).alias("kmer"))
+    def exploded(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col(seq).alias(name)).distinct().select(name, F.explode(F.array_distinct(kmers(name, k))).alias("__kmer"))
 
-    return exploded(a, a_key).join(exploded(b, b_key), "kmer").groupBy(a_key, b_key).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    shared = exploded(a, "__x").join(exploded(b, "__y"), "__kmer").groupBy("__x", "__y").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    left, right = a.select(a_key, F.col(seq).alias("__x")), b.select(b_key, F.col(seq).alias("__y"))
+    return left.join(shared, "__x").join(right, "__y").select(a_key, b_key, "shared")

@@ -72,22 +72,22 @@ def band_counts(spark, sf):
     return table(spark, sf, "orders").filter("o_totalprice between 1000 and 99999.99").groupBy(F.floor(F.col("o_totalprice") / 1000).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("""with r as (select p_partkey as r_id, p_size * 100 as lo, p_size * 100 + p_partkey % 50 as hi from part where p_partkey % 10 = 0),
+@query("""with r as (select p_partkey as r_id, p_size * 100 as lo, p_size * 100 + p_partkey % 50 as hi from part),
 p as (select event_id, user_id * 7 % 5000 as pt from events)
 select event_id, r_id from p join r on pt between lo and hi""")
 def range_join_bins(spark, sf):
     """Points in closed ranges, by bins."""
-    ranges = table(spark, sf, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("r_id"), (F.col("p_size") * 100).cast("long").alias("lo"), (F.col("p_size") * 100 + F.col("p_partkey") % 50).alias("hi"), F.lit(1).alias("chr"))
+    ranges = table(spark, sf, "part").select(F.col("p_partkey").alias("r_id"), (F.col("p_size") * 100).cast("long").alias("lo"), (F.col("p_size") * 100 + F.col("p_partkey") % 50).alias("hi"), F.lit(1).alias("chr"))
     points = table(spark, sf, "events").select("event_id", (F.col("user_id") * 7 % 5000).alias("at"), F.lit(1).alias("chr"))
     return relational.range_join(points, ranges, "at", "lo", "hi", ["chr"], 64).select("event_id", "r_id")
 
 
-@query("""with r as (select p_partkey as r_id, p_size * 100 as lo, p_size * 100 + p_partkey % 50 as hi from part where p_partkey % 10 = 0),
+@query("""with r as (select p_partkey as r_id, p_size * 100 as lo, p_size * 100 + p_partkey % 50 as hi from part),
 p as (select event_id, user_id * 7 % 5000 as pt from events)
 select event_id, r_id from (select event_id, r_id, row_number() over (partition by event_id order by lo, r_id) as n from p join r on pt between lo and hi) where n = 1""")
 def point_first_match(spark, sf):
     """The first range that holds a point."""
-    ranges = table(spark, sf, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("r_id"), (F.col("p_size") * 100).cast("long").alias("lo"), (F.col("p_size") * 100 + F.col("p_partkey") % 50).alias("hi"), F.lit(1).alias("chr"))
+    ranges = table(spark, sf, "part").select(F.col("p_partkey").alias("r_id"), (F.col("p_size") * 100).cast("long").alias("lo"), (F.col("p_size") * 100 + F.col("p_partkey") % 50).alias("hi"), F.lit(1).alias("chr"))
     points = table(spark, sf, "events").select("event_id", (F.col("user_id") * 7 % 5000).alias("at"), F.lit(1).alias("chr"))
     found = relational.range_join(points, ranges, "at", "lo", "hi", ["chr"], 64)
     return ordered.best_record(found, ["event_id"], F.col("lo"), F.col("r_id")).select("event_id", "r_id")
