@@ -40,7 +40,7 @@ def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if name not in entry.oracle_sql():
-        assert df.columns and got is not None
+        assert df.columns and got  # their rows are held against brute force in test_no_sql.py
         return
     found = duck.execute(entry.oracle_sql()[name])
     names = [c[0] for c in found.description]
