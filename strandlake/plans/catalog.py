@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from strandlake.plans import aggregates, genomics, joins, ordered, scans, sequences  # noqa: E402, F401  each registers its queries
+from strandlake.plans import aggregates, genomics, joins, ordered, scans, sequences, reports  # noqa: E402, F401  each registers its queries

@@ -182,3 +182,89 @@ def test_harmonic_number(spark):
     for n in (1, 2, 256, 257, 1000, 100_000):
         (r,) = spark.range(1).select(stats.harmonic_number(F.lit(n)).alias("h")).collect()
         assert r.h == pytest.approx(sum(1 / i for i in range(1, n + 1)), rel=1e-13)
+
+
+def test_ranked_collapse_by_barcode(spark):
+    by = collections.defaultdict(collections.Counter)
+    for g, b, u in table("select event_type, user_id % 3, lpad((user_id % 89)::varchar, 4, '0') from '$events.parquet'"):
+        by[g, b][u] += 1
+    want = []
+    for (g, b), c in by.items():
+        kept = []
+        for u in sorted(c, key=lambda u: (c[u], u), reverse=True):
+            if all(near(u, k) >= 2 for k in kept):
+                kept.append(u)
+        want += [(g, b, u, c[u]) for u in kept]
+    assert rows(spark, "ranked_collapse_by_barcode", "gene", "barcode", "umi", "n") == sorted(want)
+
+
+def test_profiles_clustered(spark):
+    by = collections.defaultdict(dict)
+    for u, k in table("select user_id, event_id from '$events.parquet'"):
+        p = (k % 3 - 1, k // 3 % 3 - 1, k // 7 % 3 - 1)
+        first, n = by[u].get(p, (k, 0))
+        by[u][p] = (min(first, k), n + 1)
+    want = []
+    for u, ps in by.items():
+        heads = []
+        for p, (_, n) in sorted(ps.items(), key=lambda x: x[1][0]):
+            for h in heads:
+                if all(x == 0 or y == 0 or x == y for x, y in zip(h[0], p)):
+                    h[0] = [x or y for x, y in zip(h[0], p)]
+                    h[1] += n
+                    break
+            else:
+                heads.append([list(p), n])
+        for p, n in heads:
+            at = [i for i, x in enumerate(p) if x]
+            want.append((u, tuple(-1 if x == 0 and at and at[0] < i < at[-1] else x for i, x in enumerate(p)), n))
+    got = sorted((r.user_id, tuple(r.profile), r.support) for r in entry.queries()["profiles_clustered"](spark, SF).collect())
+    assert got == sorted(want)
+
+
+def test_gamma_expression(spark):
+    n = [r["count"] for r in entry.queries()["gamma_expression"](spark, "/root/testdata/sf0.01").collect()]
+    mean = sum(n) / len(n)
+    assert mean == pytest.approx(0.7 * 200, rel=0.12) and sum((x - mean) ** 2 for x in n) / len(n) == pytest.approx(0.7 * 200**2, rel=0.3)
+
+
+def test_bam_in_splits_of_any_size(spark, tmp_path):
+    """Every record once, whatever the splits; long records, long names, all kinds of tags, unmapped reads."""
+    import struct
+
+    from strandlake.sources import bam
+
+    rng = random.Random(1)
+    draw = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    made = []
+    for i in range(400):
+        n = rng.choice([0, 1, 30, 31, 200, 150_000 if i % 97 == 0 else 50])
+        seq = draw(n) or None
+        qual = "".join(chr(33 + rng.randrange(40)) for _ in range(n)) if n and i % 3 else None
+        mapped = i % 5 > 0
+        made.append((f"read{i}" + "x" * (i % 200), 0 if mapped else 4, rng.choice(["a", "b"]) if mapped else None, i * 7 if mapped else None, 60, f"{n}M" if mapped and n else None, seq, qual, {"CB": f"B{i}", "XX": "text with spaces"}))
+    schema = "read_id string, flag int, chr string, start long, mapq int, cigar string, seq string, qual string, tags map<string,string>"
+    folder = f"file://{tmp_path}/bam"
+    assert bam.write_bam(spark.createDataFrame(made, schema).coalesce(1), folder, [("a", 10_000), ("b", 10_000)]) == 1
+    for size in (1_000, 7_001, 50_000, 1 << 30):
+        got = bam.read_bam(spark, folder, size).drop("blocks").collect()
+        assert sorted((tuple(r)[:8], tuple(sorted(r.tags.items()))) for r in got) == sorted(((*m[:8],), tuple(sorted(m[8].items()))) for m in made), size
+    one = next((tmp_path / "bam").glob("*.bam"))
+    assert bam.read_bam(spark, f"file://{one}").count() == len(made)
+    values = b"ASA!" + b"NMC\x05" + b"XIi" + struct.pack("<i", -7) + b"XFf" + struct.pack("<f", 0.5) + b"BBBs" + struct.pack("<i2h", 2, 3, -4)
+    assert dict(bam._tag_map(values)) == {"AS": "!", "NM": "5", "XI": "-7", "XF": "0.5", "BB": "s,3,-4"}
+    import gzip
+
+    assert gzip.decompress(one.read_bytes())[:4] == b"BAM\x01"  # any gzip reader reads it
+
+
+def test_monitors_on_a_stream(spark, tmp_path):
+    from strandlake.streaming import streams
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = streams.read_events(spark, str(tmp_path / "in"), 1)
+    top = streams.run_to_table(streams.running_maxima(stream, "event_type", "value"), "tops", str(tmp_path / "c"), mode="complete")
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, streams.running_maxima(events, "event_type", "value").collect()))
+    loud = streams.run_to_table(streams.alerts(stream, "value", 300.0).select("event_id"), "loud", str(tmp_path / "d"))
+    assert sorted(r[0] for r in loud.collect()) == sorted(r[0] for r in events.filter("value > 300").select("event_id").collect())
