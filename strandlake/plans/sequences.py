@@ -125,6 +125,6 @@ def detector_10x(spark, sf):
     from strandlake.operators import pipelines
 
     parts = bases(spark, sf).select(F.col("p_partkey").cast("string").alias("transcript_id"), "seq", F.lit(10_000.0).alias("tpm"))
-    reads = pipelines.simulate_reads(parts, 200, "10x", 50, 12, 3)
+    reads = pipelines.simulate_reads(parts, 200, "10x", 50, 12, 3).repartition("read_id")
     calls = align.call_barcodes(reads, reads.select("barcode"), align.TENX)
     return calls.join(reads.select("read_id", F.col("barcode").alias("truth")), "read_id").select("read_id", "barcode", "truth", "umi", "bc_score", "strand")
