@@ -196,23 +196,30 @@ def ranked_umi_collapse(rows: DataFrame, keys: list[str], umi: str, cutoff: int)
 
 
 def coordinate_dedup(rows: DataFrame, keys: list[str], start: str, end: str, order: str, gap_start: int, gap_end: int) -> DataFrame:
-    """Drops a row whose start and end are both within the gaps of one kept before it, in order."""
-    schema = rows.schema
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([start, order])
-        kept: list[tuple[int, int]] = []
-        flags = []
-        for s, e in zip(group[start], group[end]):
-            while kept and s - kept[0][0] > gap_start and len(kept) > 64:
-                kept.pop(0)
-            dup = any(abs(s - a) <= gap_start and abs(e - b) <= gap_end for a, b in reversed(kept))
-            flags.append(not dup)
-            if not dup:
-                kept.append((s, e))
-        return group[flags]
-
-    return rows.groupBy(*keys).applyInPandas(keep, schema)
+    """Drops a row whose start and end are both within the gaps of one kept before it, in order.
+
+    A row that starts farther than gap_start after the one before it is near none before, so a key falls into runs that are
+    looked through each by itself; only the kept rows within gap_start are held.
+    """
+    by = Window.partitionBy(*keys).orderBy(start, order)
+    fresh = F.coalesce(F.col(start) - F.lag(start).over(by) > gap_start, F.lit(True)).cast("int")
+    runs = rows.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for b in batches:
+            flags = []
+            for *run, s, e in zip(*(b[k] for k in keys), b["__run"], b[start], b[end]):
+                if run != now:
+                    now, kept = run, []
+                kept = [(x, y) for x, y in kept if s - x <= gap_start]
+                new = not any(abs(e - y) <= gap_end for _, y in kept)
+                flags.append(new)
+                if new:
+                    kept.append((s, e))
+            yield b[flags].drop(columns="__run")
+
+    return runs.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", start, order).mapInPandas(keep, rows.schema)
 
 
 def uniform(seed: int, *keys: str | Column) -> Column:

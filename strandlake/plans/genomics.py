@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import align
@@ -527,9 +528,9 @@ def counts_at_introns(spark, sf):
 def sorted_orders(spark, sf):
     """A total order, checked by its places."""
     rows = domain.sorted_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice", "o_orderkey", descending=["o_totalprice"])
-    # One sorted result is read in order; the numbers are given to it as it stands.
-    at = rows.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[0][2], x[1] + 1))
-    return spark.createDataFrame(at, "o_orderkey long, o_custkey long, o_orderpriority string, place long")
+    # The numbers are given to the sorted rows as they stand: by partition, then by place in it.
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
+    return placed.select("o_orderkey", "o_custkey", "o_orderpriority", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
 
 
 @query("select l_suppkey, first(l_returnflag order by n desc, l_returnflag desc) as l_returnflag, max(n) as n from (select l_suppkey, l_returnflag, count(*) as n from lineitem group by 1, 2) group by 1")
