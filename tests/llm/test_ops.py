@@ -424,6 +424,14 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(t.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    turns = [(1, i, "user" if i % 3 else "assistant", f"turn {i} </s> " * (1 + i % 5)) for i in range(4_000)]
+    out = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    r = out.select("formatted", "messages", chat.parse_formatted(out.formatted).alias("read"), chat.loss_text(out.formatted, out.loss_spans).alias("loss")).first()
+    assert [(x.role, x.text) for x in r.read] == [(role, t) for _, _, role, t in turns]
+    assert r.loss == "".join(t for _, _, role, t in turns if role == "assistant") and sum(len(m.texts) for m in r.messages) == 4_000
+
+
 def test_chat_query(spark):
     got = {r.conv_id: r for r in queries.op6_relational_chat(spark, SF).collect()}
     said = "</s>[INST] ok [/INST]"
