@@ -21,10 +21,19 @@ def _last(profile: Column) -> Column:
     return F.size(profile) + 1 - F.array_position(F.reverse(F.transform(profile, lambda x: (x != 0).cast("int"))), 1)
 
 
+def ends(profile: Column) -> Column:
+    """Struct of the first and the last nonzero place, from 1; first is 0 if there is none."""
+    return F.struct(_first(profile).alias("first"), _last(profile).alias("last"))
+
+
+def fill_between(profile: Column, first: Column, last: Column) -> Column:
+    """P2, P3, with the places known: as columns, they are not looked for again at each place."""
+    return F.transform(profile, lambda x, i: F.when((first > 0) & (x == 0) & (i + 1 > first) & (i + 1 < last), -1).otherwise(x))
+
+
 def fill_gaps(profile: Column) -> Column:
     """Zeros between the first and the last nonzero place become -1."""
-    a, b = _first(profile), _last(profile)
-    return F.transform(profile, lambda x, i: F.when((a > 0) & (x == 0) & (i + 1 > a) & (i + 1 < b), -1).otherwise(x))
+    return fill_between(profile, _first(profile), _last(profile))
 
 
 def merge(a: Column, b: Column) -> Column:

@@ -116,10 +116,16 @@ def assign_isoforms(reads: DataFrame, transcripts: DataFrame, delta: int = 0) ->
     """
     genes = gene_features(transcripts)
     own_introns = transcripts.withColumn("own", iv.junctions(F.col("exons"))).join(genes, "gene_id").select("gene_id", "transcript_id", pf.one_hot(F.col("own"), F.col("introns"), exact=True).alias("t_introns"), pf.one_hot(F.col("exons"), F.col("parts")).alias("t_parts"))
-    covers = iv.span(F.col("blocks"))
-    by_intron = F.transform("introns", lambda f: F.when(F.exists(iv.junctions(F.col("blocks")), lambda j: iv.equal_ranges(j, f, delta)), 1).when(iv.overlaps(covers, f) & iv.contains(covers, f), -1).otherwise(0))
+    # What is the same for all features of a read is a column before the join, and places of profiles are columns before they
+    # are used: within a function of array elements they would be computed for each.
+    own = reads.select("read_id", "gene_id", "blocks", iv.junctions(F.col("blocks")).alias("__j"), iv.span(F.col("blocks")).alias("__c"))
+    covers = F.col("__c")
+    by_intron = F.transform("introns", lambda f: F.when(F.exists("__j", lambda j: iv.equal_ranges(j, f, delta)), 1).when(iv.overlaps(covers, f) & iv.contains(covers, f), -1).otherwise(0))
     by_part = F.transform("parts", lambda f: F.when(F.exists("blocks", lambda b: iv.intersection_length(b, f) * 2 > iv.length(f)), 1).when(iv.contains(covers, f), -1).otherwise(0))
-    r = reads.join(genes, "gene_id").select("read_id", "gene_id", pf.fill_gaps(by_intron).alias("r_introns"), pf.fill_gaps(by_part).alias("r_parts"))
+    r = own.join(genes, "gene_id").select("read_id", "gene_id", by_intron.alias("i"), by_part.alias("p"))
+    r = r.withColumns({"i_ends": pf.ends(F.col("i")), "p_ends": pf.ends(F.col("p"))})
+    filled = [pf.fill_between(F.col(c), F.col(f"{c}_ends.first"), F.col(f"{c}_ends.last")).alias(n) for c, n in (("i", "r_introns"), ("p", "r_parts"))]
+    r = r.select("read_id", "gene_id", *filled)
     pairs = r.join(own_introns, "gene_id").withColumns({"d_introns": pf.diff_only_present(F.col("r_introns"), F.col("t_introns")), "d_parts": pf.diff_only_present(F.col("r_parts"), F.col("t_parts"))})
     spliced = F.exists("r_introns", lambda x: x != 0)
     fits = F.when(spliced, F.col("d_introns") == 0).otherwise(F.col("d_parts") == 0)
