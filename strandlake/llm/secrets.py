@@ -15,6 +15,7 @@ KINDS; repeated rows are scanned alike; an empty table gives an empty result; ex
 
 from __future__ import annotations
 
+import random
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -66,10 +67,11 @@ def _places(start: int, end: int) -> range:
 class CharNet:
     """Embedding, one convolution, ReLU, maximum and mean over the candidate's window, a linear layer."""
 
-    def __init__(self, seed: int, filters: int = 24, width: int = 5, size: int = 8):
+    def __init__(self, seed: int, filters: int = 32, width: int = 5, size: int = 8):
         r = np.random.default_rng(seed)
         self.width = width
-        self.p = {"e": r.normal(0, 0.3, (_ALPHABET, size)), "k": r.normal(0, 0.2, (width * size, filters)), "c": np.zeros(filters), "w": r.normal(0, 0.2, 2 * filters), "b": np.zeros(1)}
+        p = {"e": r.normal(0, 0.3, (_ALPHABET, size)), "k": r.normal(0, 0.2, (width * size, filters)), "c": np.zeros(filters), "w": r.normal(0, 0.2, 2 * filters), "b": np.zeros(1)}
+        self.p = {k: v.astype(np.float32) for k, v in p.items()}
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def _forward(self, x: np.ndarray) -> tuple:
@@ -83,7 +85,7 @@ class CharNet:
         return cols, h, top, pooled, pooled @ self.p["w"] + self.p["b"]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[i : i + 512])[4] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+        return np.concatenate([self._forward(x[i : i + 512])[4] for i in range(0, len(x), 512)]).astype(float) if len(x) else np.zeros(0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
@@ -105,7 +107,7 @@ class CharNet:
         for _ in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), batch):
-                xs, ys = x[order[i : i + batch]], y[order[i : i + batch]]
+                xs, ys = x[order[i : i + batch]], y[order[i : i + batch]].astype(np.float32)
                 cols, h, top, pooled, z = self._forward(xs)
                 dz = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - ys) / len(ys)
                 f = h.shape[2]
@@ -117,7 +119,7 @@ class CharNet:
                 g["c"] = dh.sum((0, 1))
                 g["k"] = cols.reshape(-1, cols.shape[2]).T @ dh.reshape(-1, f)
                 dc = dh @ self.p["k"].T
-                de = np.zeros((*xs.shape, self.p["e"].shape[1]))
+                de = np.zeros((*xs.shape, self.p["e"].shape[1]), dtype=np.float32)
                 size = de.shape[2]
                 for j in range(self.width):
                     de[:, j : j + h.shape[1]] += dc[:, :, j * size : (j + 1) * size]
@@ -127,7 +129,8 @@ class CharNet:
                 for k in self.p:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) - rate * decay * self.p[k]
+                    step = (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + decay * self.p[k]
+                    self.p[k] = (self.p[k] - rate * step).astype(np.float32)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, found: list[tuple[str, int, int]] | None = None) -> None:
         """Platt scaling by Newton steps, each halved until it helps, with targets drawn in from 0 and 1 as he has them; then the
@@ -163,20 +166,20 @@ _OF_OTHERS = ["see ", "", "version ", "file ", "at ", "id ", "http://www.", "pag
 def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """n (text, candidate start and end) and whether each is a secret; made by rule, the label drawn with the share of secrets
     among the findings of that form after words of that sort."""
-    r = np.random.default_rng(seed)
+    r = random.Random(seed)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
     def chars(alphabet: str, k: int) -> str:
-        return "".join(alphabet[i] for i in r.integers(0, len(alphabet), k))
+        return "".join(r.choices(alphabet, k=k))
 
     def word() -> str:
-        return "".join(_SYLLABLES[i] for i in r.integers(0, len(_SYLLABLES), r.integers(1, 4)))
+        return "".join(r.choices(_SYLLABLES, k=r.randrange(1, 4)))
 
     def prose(k: int) -> str:
         return " ".join(word() for _ in range(k))
 
     def number(a: int, b: int) -> int:
-        return int(r.integers(a, b))
+        return r.randrange(a, b)
 
     def uuid4() -> str:
         return "-".join(chars("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
@@ -192,8 +195,8 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         (lambda: chars(up + digits, number(20, 40)), 0.7, 0.95),
         (lambda: chars("0123456789abcdef", [24, 32, 40, 64][number(0, 4)]), 0.1, 0.85),
         (lambda: chars("0123456789ABCDEF", [24, 32, 40, 64][number(0, 4)]), 0.1, 0.85),
-        (uuid4, 0.01, 0.3),
-        (lambda: uuid4().upper(), 0.01, 0.3),
+        (uuid4, 0.0, 0.03),
+        (lambda: uuid4().upper(), 0.0, 0.03),
         (lambda: word() + word() + "-" + word() + "-" + word() + str(number(1, 3000)), 0.0, 0.02),
         (lambda: f"20{number(10, 30)}-{number(10, 13)}-{number(10, 29)}T{number(10, 24)}-{number(10, 60)}-00Z", 0.0, 0.0),
         (lambda: "/" + word() + "/" + word() + "/" + word() + word() + "/" + str(number(1, 99999)), 0.0, 0.02),
@@ -224,24 +227,24 @@ def labelled_runs(n: int, seed: int) -> tuple[list[tuple[str, int, int, int, int
 
     The findings of labelled_findings() stand at the end or within paths and chains of names and values.
     """
-    r = np.random.default_rng(seed)
+    r = random.Random(seed)
 
     def word() -> str:
-        return "".join(_SYLLABLES[i] for i in r.integers(0, len(_SYLLABLES), r.integers(1, 4)))
+        return "".join(r.choices(_SYLLABLES, k=r.randrange(1, 4)))
 
     def chain(least: int, mark: str) -> str:
         out = ""
         while len(out) < least:
-            out += mark + [word(), word(), word().upper(), word() + str(r.integers(0, 100)), str(r.integers(0, 3000))][r.integers(0, 5)]
+            out += mark + [word(), word(), word().upper(), word() + str(r.randrange(100)), str(r.randrange(3000))][r.randrange(5)]
         return out
 
     found, y = labelled_findings(n, seed + 1)
     out = []
     for text, start, end in found:
         item = text[start:end]
-        mark = "/_=-"[r.integers(0, 4)]
-        head = chain(int(r.integers(10, 120)), mark) + mark
-        tail = chain(int(r.integers(5, 80)), mark) if r.integers(0, 3) == 0 else ""
+        mark = "/_=-"[r.randrange(4)]
+        head = chain(r.randrange(10, 120), mark) + mark
+        tail = chain(r.randrange(5, 80), mark) if r.randrange(3) == 0 else ""
         a, b = start + len(head), start + len(head) + len(item)
         out.append((text[:start] + head + item + tail + text[end:], start, b + len(tail), a, b))
     return out, y
