@@ -5,7 +5,7 @@ digits and letters; the network sees each with its surroundings on both sides, a
 of it, of which the highest score counts.  It is trained on labelled findings that are made by rule from a seed: keys in the
 forms that services issue, hashes, UUIDs, identifiers, dates, paths and placeholders, each after words that speak of secrets
 and after others alike.  Neither the form nor the words settle the label; each pair of them has its own share of secrets, so
-scores between 0 and 1 mean something.  They are calibrated (Platt) on a held-out part, and the threshold is the highest that
+scores between 0 and 1 mean something.  They are calibrated (by bins, isotonic) on a held-out part, and the threshold is the highest that
 keeps the wanted recall there.
 
 Defined cases: null text is empty; a candidate inside another finding is not reported again, of one that goes beyond it the
@@ -72,7 +72,7 @@ class CharNet:
         self.width = width
         p = {"e": r.normal(0, 0.3, (_ALPHABET, size)), "k": r.normal(0, 0.2, (width * size, filters)), "c": np.zeros(filters), "w": r.normal(0, 0.2, 2 * filters), "b": np.zeros(1)}
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.knots, self.shares, self.threshold = np.array([-4.0, 4.0]), np.array([0.0, 1.0]), 0.5
 
     def _forward(self, x: np.ndarray) -> tuple:
         e = self.p["e"][x]
@@ -89,7 +89,7 @@ class CharNet:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -35, 35)))
+        return np.interp(self.raw(x), self.knots, self.shares)
 
     def judge(self, found: list[tuple[str, int, int]]) -> np.ndarray:
         """Of each (text, start, end) the highest calibrated probability of its windows."""
@@ -132,28 +132,19 @@ class CharNet:
                     step = (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + decay * self.p[k]
                     self.p[k] = (self.p[k] - rate * step).astype(np.float32)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, found: list[tuple[str, int, int]] | None = None) -> None:
-        """Platt scaling by Newton steps, each halved until it helps, with targets drawn in from 0 and 1 as he has them; then the
-        highest threshold with the wanted recall of x, or of the secrets in found."""
-        z, n = self.raw(x), float(y.sum())
-        centre, spread = z.mean(), z.std() + 1e-9
-        u = (z - centre) / spread
-        target = np.where(y == 1, (n + 1) / (n + 2), 1 / (len(y) - n + 2))
-
-        def loss(w: np.ndarray) -> float:
-            t = w[0] * u + w[1]
-            return float((np.logaddexp(0, t) - target * t).sum())
-
-        w = np.array([1.0, 0.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(w[0] * u + w[1], -35, 35)))
-            v = p * (1 - p) + 1e-9
-            step = np.linalg.solve(np.array([[(v * u * u).sum(), (v * u).sum()], [(v * u).sum(), v.sum()]]), np.array([(u * (p - target)).sum(), (p - target).sum()]))
-            size = 1.0
-            while size > 1e-6 and loss(w - size * step) > loss(w):
-                size /= 2
-            w = w - size * step
-        self.scale, self.shift = float(w[0] / spread), float(w[1] - w[0] * centre / spread)
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, found: list[tuple[str, int, int]] | None = None, bins: int = 25) -> None:
+        """Isotonic calibration: shares of secrets in bins of equal numbers by raw score, pooled where they would fall, and
+        straight lines between the bins' means; then the highest threshold with the wanted recall of x, or of the secrets in
+        found."""
+        z = self.raw(x)
+        pools: list[list[float]] = []  # sum of scores, secrets, all
+        for part in np.array_split(np.argsort(z, kind="stable"), min(bins, len(z))):
+            pools.append([float(z[part].sum()), float(y[part].sum()), float(len(part))])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+                last = pools.pop()
+                pools[-1] = [u + v for u, v in zip(pools[-1], last)]
+        self.knots = np.array([s / n for s, _, n in pools])
+        self.shares = np.array([(k + 0.5) / (n + 1) for _, k, n in pools])
         scores = np.sort(self.score(x)[y == 1] if found is None else self.judge(found))
         self.threshold = float(scores[int(np.floor((1 - recall) * len(scores)))])
 
