@@ -176,9 +176,11 @@ def group_mean_columns(rows: DataFrame, key: str, columns: Sequence[str]) -> Dat
 
 
 def row_zscore(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Centred, and divided by the sample deviation."""
+    """Centred, and divided by the sample deviation; NaN where all values of a row are equal, as 0 / 0 is in floating
+    point, null where there is one."""
     w = Window.partitionBy(by)
-    return rows.withColumns({"centred": F.col(value) - F.avg(value).over(w), "z": (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w)})
+    centred, sd = F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)
+    return rows.withColumns({"centred": centred, "z": F.when(sd == 0, F.lit(float("nan"))).otherwise(centred / F.nullif(sd, F.lit(0.0)))})
 
 
 def expressed(rows: DataFrame, feature: str, sample: str, value: str, cutoff: float = 1.0, samples: int = 2) -> DataFrame:
