@@ -137,10 +137,13 @@ def assign_isoforms(reads: DataFrame, transcripts: DataFrame, delta: int = 0) ->
 
 
 def ambiguous_isoforms(profiles: DataFrame) -> DataFrame:
-    """Isoforms whose profile is part of another's of the gene (never of their own)."""
-    a = profiles.select("gene_id", F.col("transcript_id").alias("a"), F.col("profile").alias("x"))
-    b = profiles.select("gene_id", F.col("transcript_id").alias("b"), F.col("profile").alias("y"))
-    return a.join(b, "gene_id").filter((F.col("a") != F.col("b")) & F.coalesce(pf.is_subprofile(F.col("x"), F.col("y")), F.lit(False))).select("gene_id", F.col("a").alias("transcript_id")).distinct()
+    """Isoforms whose profile is part of another's of the gene (never of their own). Profiles that repeat are compared once: a
+    profile that is part of others needs only the least and the greatest of their isoforms, to know that one is another."""
+    kinds = profiles.groupBy("gene_id", "profile").agg(F.min("transcript_id").alias("low"), F.max("transcript_id").alias("high"))
+    pairs = kinds.select("gene_id", F.col("profile").alias("x")).join(kinds.withColumnRenamed("profile", "y"), "gene_id")
+    found = pairs.filter(pf.is_subprofile(F.col("x"), F.col("y"))).groupBy("gene_id", "x").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = profiles.select("gene_id", "transcript_id", F.col("profile").alias("x")).join(found, ["gene_id", "x"])
+    return rows.filter((F.col("low") != F.col("transcript_id")) | (F.col("high") != F.col("transcript_id"))).select("gene_id", "transcript_id").distinct()
 
 
 def consensus_profiles(rows: DataFrame, key: str, profile: str, ratio: int = 5, min_reads: int = 1) -> DataFrame:

@@ -36,3 +36,32 @@ def test_zscore_of_equal_values(same_as_sql):
     rows = "(values (1, 'A', 7.0), (1, 'R', 7.0), (2, 'A', 3.0), (3, 'A', 1.0), (3, 'N', 4.0), (3, 'R', 5.5))"
     got = same_as_sql("zscore_rows", lineitem=f"select s::bigint as l_suppkey, f as l_returnflag, q::double as l_quantity from {rows} t(s, f, q)")
     assert len(got) == 6
+
+
+def in_time(spark, df, seconds=60):
+    """The number of rows, or a failure when the jobs take longer."""
+    found = []
+    work = threading.Thread(target=lambda: found.append(df.count()), daemon=True)
+    work.start()
+    work.join(seconds)
+    if work.is_alive():
+        spark.sparkContext.cancelAllJobs()
+        work.join()
+        pytest.fail(f"more than {seconds} s")
+    return found[0]
+
+
+def test_ambiguous_isoforms_that_repeat(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("gh"), rng.choice(["a", "b", "c", "d", "e", None]), rng.choice([None, [rng.choice([1, -1, 0]) for _ in range(3)]])) for _ in range(40)]
+
+    def part(x, y):
+        ones = [i for i, v in enumerate(x) if v == 1]
+        return bool(ones) and x[ones[0] : ones[-1] + 1] == y[ones[0] : ones[-1] + 1]
+
+    for n in (3, 12, 40):
+        d = spark.createDataFrame(rows[:n], "gene_id string, transcript_id string, profile array<int>")
+        got = sorted(tuple(r) for r in pipelines.ambiguous_isoforms(d).collect())
+        assert got == sorted({(g, t) for g, t, x in rows[:n] for h, u, y in rows[:n] if g == h and t and u and t != u and x and y and part(x, y)})
+    many = spark.range(200_000).select(F.lit("g").alias("gene_id"), F.col("id").cast("string").alias("transcript_id"), F.array(F.lit(1), (F.col("id") % 3 - 1).cast("int")).alias("profile"))
+    assert in_time(spark, pipelines.ambiguous_isoforms(many)) == 200_000
