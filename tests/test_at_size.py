@@ -65,3 +65,13 @@ def test_ambiguous_isoforms_that_repeat(spark):
         assert got == sorted({(g, t) for g, t, x in rows[:n] for h, u, y in rows[:n] if g == h and t and u and t != u and x and y and part(x, y)})
     many = spark.range(200_000).select(F.lit("g").alias("gene_id"), F.col("id").cast("string").alias("transcript_id"), F.array(F.lit(1), (F.col("id") % 3 - 1).cast("int")).alias("profile"))
     assert in_time(spark, pipelines.ambiguous_isoforms(many)) == 200_000
+
+
+def test_reads_assigned_by_profiles_that_repeat(spark):
+    iso = spark.createDataFrame([("g", "t2", [1, 1], True), ("g", "t1", [1, 1], True), ("g", "t3", [1, -1], True), ("g", "t4", [1, 1], False), ("h", "t5", None, True)], "gene_id string, transcript_id string, profile array<int>, is_coding boolean")
+    reads = spark.createDataFrame([("a", "g", [1, 0]), ("b", "g", [0, 1]), ("c", "g", [1, -1]), ("d", "g", [-1, 0]), ("e", "g", None), ("f", "h", [1, 1]), ("i", "z", [1, 1]), ("c", "g", [-1, -1])], "read_id string, gene_id string, profile array<int>")
+    got = {r.read_id: (r.isoforms, r.assignment_type) for r in domain.assign_by_junctions(reads, iso).collect()}
+    assert got == {"a": (["t1", "t2", "t3"], "ambiguous"), "b": (["t1", "t2"], "ambiguous"), "c": (["t3"], "unique"), "d": ([], "contradictory"), "e": ([], "contradictory"), "f": ([], "contradictory")}
+    many = spark.range(200_000).select(F.lit("g").alias("gene_id"), F.col("id").alias("transcript_id"), F.array((F.col("id") % 2 * 2 - 1).cast("int")).alias("profile"), F.lit(True).alias("is_coding"))
+    out = domain.assign_by_junctions(many.withColumnRenamed("transcript_id", "read_id"), many).select("read_id", "assignment_type")
+    assert in_time(spark, out.filter("assignment_type = 'ambiguous'")) == 200_000
