@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from strandlake.functions import align
@@ -256,16 +255,7 @@ def barcodes_by_kmers(spark, sf):
     """The candidate with most common k-mers, for whole barcodes themselves."""
     s = F.translate(F.md5(F.col("c_custkey").cast("string")), "0123456789abcdef", "ACGT" * 4)
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.substring(s, 1, 16).alias("s"))
-    known = sorted(r[0] for r in rows.select("s").collect())  # a kit's list, one for each customer
-    sent = spark.sparkContext.broadcast(known)
-
-    def best(batches):
-        index = align.KmerTable(sent.value, 6)
-        for b in batches:
-            piece, name, _ = index.candidates(align._matrix(list(b["s"]))[0], most=1)
-            yield pd.DataFrame({"i": b["i"].to_numpy()[piece], "barcode": [index.known[j] for j in name]})
-
-    return rows.mapInPandas(best, "i long, barcode string")
+    return relational.best_by_kmers(rows, rows.select(F.col("s").alias("barcode")), "s", "barcode", 6).select("i", "barcode")
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_catalog import rows_of
 
 import __spark_entry__ as entry
+from strandlake.functions import align
 from strandlake.operators import domain, pipelines, relational
 
 
@@ -111,3 +112,21 @@ def test_values_that_repeat_are_measured_once(spark):
     udf = F.udf(length, "int")
     assert relational.compared_pairs(rows, ["g"], "id", "s", udf, "d").agg(F.count("*"), F.sum("d")).first() == (4498500, 2 * 4498500)
     assert measured.value < 100
+
+
+def test_best_by_kmers_equals_the_table(spark):
+    rng = random.Random(8)
+    known = sorted({"".join(rng.choice(s) for _ in range(rng.choice((3, 6, 9)))) for s in ("ACGT", "AC", "ACGN") for _ in range(40)})
+    pieces = known[::3] + ["".join(rng.choice(s) for _ in range(rng.choice((2, 5, 8)))) for s in ("ACGT", "AC", "ACGN") for _ in range(60)]
+    for k, least in ((2, 2), (3, 1)):
+        index = align.KmerTable(known, k)
+        piece, name, _ = index.candidates(align._matrix(pieces)[0], least, most=1)
+        want = sorted((int(i), known[j]) for i, j in zip(piece, name))
+        rows, listed = spark.createDataFrame(list(enumerate(pieces)), "i long, s string"), spark.createDataFrame([(x,) for x in known * 2], "barcode string")
+        got = sorted((r.i, r.barcode) for r in relational.best_by_kmers(rows, listed, "s", "barcode", k, least).collect())
+        assert got == want and 40 < len(got) < len(pieces)
+
+
+def test_barcodes_are_not_sent_to_the_driver(spark, same_as_sql, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: pytest.fail("a list of all barcodes is broadcast"))
+    assert len(same_as_sql("barcodes_by_kmers", customer="select i::bigint as c_custkey from range(3000) t(i)")) == 3000
