@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,25 +137,95 @@ def umi_clusters(rows: DataFrame, keys: list[str], umi: str, trusted: str, count
 
     The distance is the edit distance less the difference of lengths, and near enough is max_distance (0: one holds the
     other, the distance is the difference of lengths; below 0: all are one). With disregard_length it is the edit distance
-    itself (0: they are equal). Equal UMIs are collapsed first, so a group's size is its distinct UMIs.
+    itself (0: they are equal). Equal UMIs are collapsed first, so a group's size is its distinct UMIs; a UMI is compared with
+    the heads that share a part with it.
     """
     distinct = rows.groupBy(*keys, umi).agg(F.bool_or(trusted).alias(trusted), F.sum(count).alias(count), F.min(order).alias(order))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema) + ", cluster string"
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
-        out = []
+        heads = _Heads(max_distance, disregard_length)
         group = group.sort_values([order, umi])
-        for u in group[umi]:
-            near = [(d, i) for i, h in enumerate(heads) if (d := _distance(h, u, max_distance, disregard_length)) is not None]
-            head = heads[min(near)[1]] if near else None
-            if head is None:
-                heads.append(u)
-                head = u
-            out.append(head)
-        return group.assign(cluster=out)
-
-    return distinct.groupBy(*keys).applyInPandas(cluster, schema)
+        return group.assign(cluster=[heads.nearest(u) or heads.add(u) for u in group[umi]])
+
+    spark = rows.sparkSession  # groups are small in bytes and long in time: they are not put together in few tasks
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return distinct.repartition(tasks, *keys).groupBy(*keys).applyInPandas(cluster, schema)
+
+
+class _Heads:
+    """Heads of clusters in the order they were founded. Cut in e + 1 parts, a head that is at most e edits away has a part that is
+    unchanged and at most e places off, so only heads with such a part are compared."""
+
+    def __init__(self, most: int, disregard_length: bool):
+        self.most, self.disregard_length = most, disregard_length
+        self.names: list[str] = []
+        self.by_length: dict[int, list[int]] = {}
+        self.by_part: dict[tuple[int, int], dict[tuple[int, str], list[int]]] = {}  # (length of the heads, edits)
+
+    def add(self, u: str) -> str:
+        self.by_length.setdefault(len(u), []).append(len(self.names))
+        for (n, e), index in self.by_part.items():
+            if n == len(u):
+                self._enter(index, u, len(self.names), e)
+        self.names.append(u)
+        return u
+
+    def nearest(self, u: str) -> str | None:
+        """The head with the least (distance, number), None if none is near enough."""
+        if self.most <= 0:
+            near = ((d, i) for i, h in enumerate(self.names) if (d := _distance(h, u, self.most, self.disregard_length)) is not None)
+        else:
+            near = (x for n in self.by_length if (x := self._near(u, n)))
+        best = min(near, default=None)
+        return None if best is None else self.names[best[1]]
+
+    def _near(self, u: str, n: int) -> tuple[int, int] | None:
+        gap = abs(n - len(u))
+        e = self.most + (0 if self.disregard_length else gap)
+        found = sorted(self._candidates(u, n, e)) if gap <= e else []
+        if not found:
+            return None
+        edits = edit_distances(u, [self.names[i] for i in found])
+        at = int(edits.argmin())
+        return (int(edits[at]) - (0 if self.disregard_length else gap), found[at]) if edits[at] <= e else None
+
+    def _candidates(self, u: str, n: int, e: int) -> Iterable[int]:
+        if n <= e:
+            return self.by_length[n]
+        if (index := self.by_part.get((n, e))) is None:
+            index = self.by_part[n, e] = {}
+            for i in self.by_length[n]:
+                self._enter(index, self.names[i], i, e)
+        spans = [(k, s, b - a) for k, (a, b) in enumerate(_parts(n, e)) for s in range(max(0, a - e), min(a + e, len(u) - b + a) + 1)]
+        return {i for k, s, size in spans for i in index.get((k, u[s : s + size]), ())}
+
+    @staticmethod
+    def _enter(index: dict[tuple[int, str], list[int]], head: str, number: int, e: int) -> None:
+        for k, (a, b) in enumerate(_parts(len(head), e)):
+            index.setdefault((k, head[a:b]), []).append(number)
+
+
+@cache
+def _parts(n: int, e: int) -> list[tuple[int, int]]:
+    """e + 1 parts of n places."""
+    return [(k * n // (e + 1), (k + 1) * n // (e + 1)) for k in range(e + 1)]
+
+
+def edit_distances(a: str, others: list[str]) -> np.ndarray:
+    """The Levenshtein distances of a to strings of one length, all at once."""
+    n = len(others[0])
+    if len(others) < 5 or not n:
+        return np.array([levenshtein(a, b) for b in others])
+    codes = np.frombuffer("".join(others).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(others), n).T
+    before = [np.full(len(others), j, dtype=np.int32) for j in range(n + 1)]
+    for i, x in enumerate(a, 1):
+        unequal = codes != ord(x)
+        now = [np.full(len(others), i, dtype=np.int32)]
+        for j in range(1, n + 1):
+            now.append(np.minimum(np.minimum(before[j], now[-1]) + 1, before[j - 1] + unequal[j - 1]))
+        before = now
+    return before[-1]
 
 
 def _distance(a: str, b: str, most: int, disregard_length: bool) -> int | None:

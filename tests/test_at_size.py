@@ -10,7 +10,7 @@ from test_catalog import rows_of
 
 import __spark_entry__ as entry
 from strandlake.functions import align
-from strandlake.operators import domain, pipelines, relational
+from strandlake.operators import domain, ordered, pipelines, relational
 
 
 @pytest.fixture
@@ -130,3 +130,23 @@ def test_best_by_kmers_equals_the_table(spark):
 def test_barcodes_are_not_sent_to_the_driver(spark, same_as_sql, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: pytest.fail("a list of all barcodes is broadcast"))
     assert len(same_as_sql("barcodes_by_kmers", customer="select i::bigint as c_custkey from range(3000) t(i)")) == 3000
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+@pytest.mark.parametrize("disregard", [False, True])
+def test_nearest_heads_equal_brute_force(most, disregard):
+    rng = random.Random(most)
+    umis = list(dict.fromkeys("".join(rng.choice("ACGT") for _ in range(rng.choice(sizes))) for sizes, n in (((9, 10, 10, 11), 400), ((0, 1, 2, 3, 5, 8, 14), 200)) for _ in range(n)))
+    heads, brute = ordered._Heads(most, disregard), []
+    for u in umis:
+        near = min(((d, i) for i, h in enumerate(brute) if (d := ordered._distance(h, u, most, disregard)) is not None), default=None)
+        got = heads.nearest(u)
+        assert got == (near and brute[near[1]])
+        if near is None:
+            brute.append(heads.add(u))
+    assert heads.names == brute and len(brute) > 10
+
+
+def test_large_groups_of_umis(spark):
+    rows = spark.range(12_000).select(F.lit("g").alias("k"), F.lpad((F.col("id") * 7919 % 100_000).cast("string"), 5, "0").alias("umi"), F.lit(True).alias("t"), F.lit(1).cast("long").alias("n"), F.col("id").alias("o"))
+    assert in_time(spark, ordered.umi_clusters(rows, ["k"], "umi", "t", "n", "o", 1), 90) == 12_000
