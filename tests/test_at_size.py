@@ -160,3 +160,18 @@ def test_shared_kmers_of_names_that_repeat(spark, same_as_sql, monkeypatch):
     rows = spark.createDataFrame([(2, "abcdefgh"), (1, "abcdefghi"), (1, "abcdefgh"), (3, "abcdefgh")], "k long, s string")
     got = sorted(tuple(r) for r in relational.shared_kmer_pairs_within(rows, "k", "s", 3, 2).collect())
     assert got == [(1, 2, 6), (1, 2, 6), (1, 3, 6), (1, 3, 6), (2, 3, 6)]
+
+
+def test_range_join_of_places_that_repeat(spark, same_as_sql, monkeypatch):
+    part = "select i::bigint as p_partkey, (i * 7 % 50)::int as p_size from range(400) t(i)"
+    events = "select i::bigint as event_id, case when i % 50 <> 7 then i % 1009 end::bigint as user_id from range(3000) t(i)"
+    whole = same_as_sql("range_join_bins", part=part, events=events)
+    monkeypatch.setattr(relational, "CHUNK", 3)
+    assert same_as_sql("range_join_bins", part=part, events=events) == whole
+    points = spark.createDataFrame([(5, None), (5, "p"), (5, "p"), (99, "q")], "at long, name string")
+    ranges = spark.createDataFrame([(1, 6, None, 2), (1, 6, 7, None), (6, 8, 7, 1)], "lo long, hi long, x int, y int")
+    got = sorted((tuple(r) for r in relational.range_join(points, ranges, "at", "lo", "hi", [], 4).select("name", "x", "y").collect()), key=repr)
+    assert got == sorted([(n, *r) for n in (None, "p", "p") for r in ((None, 2), (7, None))], key=repr)
+    assert relational.range_join(points.select("at"), ranges, "at", "lo", "hi", [], 4).count() == 6
+    plan = relational.range_join(points, ranges, "at", "lo", "hi", [], 4)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Generate explode(__y" in plan  # pairs are made in a loop over lists
