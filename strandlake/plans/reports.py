@@ -255,7 +255,7 @@ def barcodes_by_kmers(spark, sf):
     """The candidate with most common k-mers, for whole barcodes themselves."""
     s = F.translate(F.md5(F.col("c_custkey").cast("string")), "0123456789abcdef", "ACGT" * 4)
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.substring(s, 1, 16).alias("s"))
-    return relational.best_by_kmers(rows, rows.select(F.col("s").alias("barcode")), "s", "barcode", 6).select("i", "barcode")
+    return relational.best_by_kmers(rows, rows.select(F.col("s").alias("barcode")), "s", "barcode", 6, itself=True).select("i", "barcode")
 
 
 @query()

@@ -132,6 +132,18 @@ def test_barcodes_are_not_sent_to_the_driver(spark, same_as_sql, monkeypatch):
     assert len(same_as_sql("barcodes_by_kmers", customer="select i::bigint as c_custkey from range(3000) t(i)")) == 3000
 
 
+def test_barcodes_whose_kmers_another_holds(same_as_sql):
+    assert len(same_as_sql("barcodes_by_kmers", customer="select i::bigint as c_custkey from (values (29898), (504797), (7)) t(i)")) == 3
+
+
+def test_barcodes_are_not_broadcast_by_spark(spark, tmp_path):
+    spark.range(3000).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    df = entry.queries()["barcodes_by_kmers"](spark, str(tmp_path))
+    assert len(df.collect()) == 3000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("most", [1, 2, 3])
 @pytest.mark.parametrize("disregard", [False, True])
 def test_nearest_heads_equal_brute_force(most, disregard):
